@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import extendible, langid, license_scan, secrets, sstable
 from .common import table
-from .sstable import tokenize_to_shards
+
+SHARD_BYTES = 32 << 20
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,14 +17,52 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return tokenize_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return sstable.tokenize_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extendible.assign_shards(docs, SHARD_BYTES, keep=["doc_id"])
+
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS h
+  FROM documents),
+levels AS (
+  SELECT g.depth, d.h >> (52 - g.depth) AS prefix, CAST(sum(d.n_bytes) AS BIGINT) AS total
+  FROM d, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 53)) g GROUP BY ALL),
+leaf AS (
+  SELECT d.doc_id, d.h, d.n_bytes, min(l.depth) AS depth
+  FROM d JOIN levels l ON l.prefix = d.h >> (52 - l.depth) AND l.total <= {SHARD_BYTES} GROUP BY ALL)
+SELECT f.doc_id, CASE WHEN f.depth = 0 THEN '' ELSE right(format('{{:052b}}', f.h >> (52 - f.depth)), f.depth) END AS shard,
+       f.depth, f.n_bytes, l.total AS shard_bytes
+FROM leaf f JOIN levels l ON l.depth = f.depth AND l.prefix = f.h >> (52 - f.depth)
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
+        "op4_license_scan": op4_license_scan,
+        "op5_extendible_shards": op5_extendible_shards,
+        "op6_language_id": op6_language_id,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_extendible_shards": OP5_SQL}
