@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extendible, langid, license_scan, pfair, secrets, sstable
+from . import decontam, extendible, langid, license_scan, pfair, secrets, sstable
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -20,6 +20,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokenize_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item; clean documents give no row."""
+    return decontam.flagged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
+        "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_language_id": op6_language_id,
