@@ -48,3 +48,10 @@ def test_prediction_reads_the_text_only(spark):
     from pyspark.sql import functions as F
     b = {r.doc_id: r.lang_pred for r in L.predict(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None).cast("string")), model).collect()}
     assert a == b
+
+
+def test_counts_are_the_same_in_small_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "the cat sat"), ("b", "el gato"), ("a", "on the mat"), ("a", None), ("b", "12")] * 20, "lang string, text string").coalesce(1)
+    whole = sorted(map(tuple, L.count_grams(rows).collect()))
+    monkeypatch.setattr(L, "COUNT_CODES", 7)
+    assert sorted(map(tuple, L.count_grams(rows).collect())) == whole

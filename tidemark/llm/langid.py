@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 PROFILE_SIZE = 400
 #: Languages that a model can hold; the profiles of more would be too large to send.
 MOST_LANGUAGES = 2000
+#: Code points, or distinct n-grams, of a language that a task holds before it sums, or sends, them.
+COUNT_CODES = 500_000
 UNDETERMINED = "und"
 _BITS = 21
 _BLANK = 32
@@ -67,16 +69,41 @@ def count_grams(rows: DataFrame) -> DataFrame:
     def count(batches: Iterable):
         import pyarrow as pa
 
+        waiting: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def summed(lang: str) -> None:
+            # Each text ends and starts with a blank: joined texts make no other n-gram.
+            codes = waiting.pop(lang)
+            joined = np.concatenate([c if i == 0 else c[1:] for i, c in enumerate(codes)])
+            grams, n = np.unique(_grams(joined), return_counts=True)
+            if lang in sums:
+                every = np.concatenate((sums[lang][0], grams))
+                grams, at = np.unique(every, return_inverse=True)
+                n = np.bincount(at, np.concatenate((sums[lang][1], n))).astype(np.int64)
+            sums[lang] = grams, n
+            sizes[lang] = 0
+
+        def rows_of(lang: str):
+            grams, n = sums.pop(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if text.is_valid:
-                    parts.setdefault(lang, []).append(_codes(text.as_py()))
-            for lang, codes in parts.items():
-                # Each text ends and starts with a blank: joined texts make no other n-gram.
-                joined = np.concatenate([c if i == 0 else c[1:] for i, c in enumerate(codes)])
-                grams, n = np.unique(_grams(joined), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                if not text.is_valid:
+                    continue
+                codes = _codes(text.as_py())
+                waiting.setdefault(lang, []).append(codes)
+                sizes[lang] = sizes.get(lang, 0) + len(codes)
+                if sizes[lang] >= COUNT_CODES:
+                    summed(lang)
+                    if len(sums[lang][0]) >= COUNT_CODES:
+                        yield rows_of(lang)
+        for lang in list(waiting):
+            summed(lang)
+        for lang in list(sums):
+            yield rows_of(lang)
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
