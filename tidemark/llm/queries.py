@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extendible, langid, license_scan, pfair, secrets, sstable
+from . import decontam, extendible, langid, license_scan, ngram_join, pfair, secrets, sstable
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -95,6 +95,10 @@ FROM k JOIN b ON b.src = k.src AND b.block = k.k // {pfair.BLOCK_DOCS}
 """
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_extendible_shards": op5_extendible_shards,
         "op6_language_id": op6_language_id,
         "op8_pfair_mix": op8_pfair_mix,
+        "op9_ngram_join": op9_ngram_join,
         "op10_secret_scan": op10_secret_scan,
     }
 
