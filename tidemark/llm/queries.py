@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extendible, langid, license_scan, ngram_join, pfair, secrets, sstable
+from . import decontam, extendible, langid, license_scan, ngram_join, pfair, rpforest, secrets, sstable
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -20,6 +20,27 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.tokenize_to_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM u),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) / (a.len * b.len) >= 0.93),
+reach AS (SELECT a AS vec_id, b AS other FROM e UNION SELECT r.vec_id, e.b FROM reach r JOIN e ON e.a = r.other),
+c AS (SELECT vec_id, min(other) AS least FROM reach GROUP BY 1),
+l AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT m.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, least(m.vec_id, coalesce(c.least, m.vec_id)) AS component_id,
+       least(m.vec_id, coalesce(c.least, m.vec_id)) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN l USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item; clean documents give no row."""
     return decontam.flagged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -106,6 +127,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_shards": op1_token_shards,
+        "op2_embedding_forest": op2_embedding_forest,
         "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
         "op5_extendible_shards": op5_extendible_shards,
@@ -117,4 +139,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_shards": OP5_SQL, "op8_pfair_mix": OP8_SQL}
+    return {"op2_embedding_forest": OP2_SQL, "op5_extendible_shards": OP5_SQL, "op8_pfair_mix": OP8_SQL}
