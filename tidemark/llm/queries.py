@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extendible, langid, license_scan, ngram_join, pfair, rpforest, secrets, sstable
+from . import decontam, extendible, hmm_lm, langid, license_scan, ngram_join, pfair, rpforest, secrets, sstable
 from .common import table
 
 SHARD_BYTES = 32 << 20
@@ -76,6 +76,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -132,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": op4_license_scan,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_language_id": op6_language_id,
+        "op7_hmm_lm": op7_hmm_lm,
         "op8_pfair_mix": op8_pfair_mix,
         "op9_ngram_join": op9_ngram_join,
         "op10_secret_scan": op10_secret_scan,
