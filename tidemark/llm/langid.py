@@ -192,7 +192,7 @@ def identify(docs: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
 
 #: Mean distance above which the pipeline takes a text of at least so many
 #: n-grams for no known language.
-REJECT_DISTANCE = 0.9
+REJECT_DISTANCE = 0.8
 
 
 def keep_identified(docs: DataFrame, reject_distance: float = REJECT_DISTANCE) -> DataFrame:
