@@ -35,22 +35,26 @@ from .common import word_bytes
 
 #: Words of a passage, and how far apart passages start.
 PASSAGE, STRIDE = 128, 64
-#: Share of an item's own score that a passage must reach.
-RETRIEVE = 0.4
 #: Share of five-word shingles of the question, and of the answer's words.
 QUESTION_OVERLAP, ANSWER_OVERLAP, SHINGLE = 0.8, 0.5, 5
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 #: Items up to which one index is sent to the tasks, and bytes of their texts.
 PART_ITEMS, PART_BYTES = 20_000, 32 << 20
 _SENTENCE_END = re.compile(r"[.!?:]\s+(?=\S)|\n+")
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """An item's last sentence or line is the answer, what precedes the
-    question; an item of one sentence is all question."""
+    """An item's last sentence or line is the answer, what precedes it the
+    question. Where that leaves under five words, or under half of them, to
+    the question, the whole item is the question."""
     ends = [m.end() for m in _SENTENCE_END.finditer(text.rstrip())]
-    return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, "")
+    if ends:
+        question, answer = text[: ends[-1]], text[ends[-1] :]
+        n = len(word_bytes(question))
+        if n >= max(SHINGLE, len(word_bytes(answer))):
+            return question, answer
+    return text, ""
 
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
@@ -76,8 +80,7 @@ class BlockMaxIndex:
             if not words:
                 continue
             weight = {t: float(idf(t)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_words)) for t, tf in Counter(words).items()}
-            # A passage can hold only part of an item longer than a stride.
-            theta = RETRIEVE * sum(weight.values()) * min(1.0, STRIDE / len(words))
+            theta = self._threshold(i, weight)
             for t, w in weight.items():
                 raw[t].append((i, w / theta))
         self.postings = {t: ([i for i, _ in p], [w for _, w in p]) for t, p in raw.items()}
@@ -108,6 +111,19 @@ class BlockMaxIndex:
         self.starts = np.array(starts)
         self.blocks, self.bounds = np.array(blocks, dtype=np.int64), np.array(bounds)
 
+    def _threshold(self, item: int, weight: dict[bytes, float]) -> float:
+        """A score that every passage reaches whose question overlap suffices.
+
+        Missing words cost a shingle each at least, so no more than the
+        allowed share of the question's words is missing: take the
+        heaviest away. A passage holds a stride's part of a longer item.
+        """
+        words = word_bytes(self.parts[item][0]) or word_bytes(self.parts[item][1])
+        runs = max(1, len(words) - SHINGLE + 1)
+        missing = int((1 - QUESTION_OVERLAP) * runs + 1e-9)
+        weights = sorted((weight[t] for t in set(words)), reverse=True)
+        return 0.999 * sum(weights[missing:]) * min(1.0, STRIDE / len(words))
+
     def candidate_passages(self, words: list[bytes]) -> list[int]:
         """Passages (by stride) in which some block of items may reach its bound."""
         n = max(1, -(-len(words) // STRIDE))
