@@ -1,0 +1,172 @@
+"""Reading HTML with the standard library, for pandas UDFs and mapInPandas."""
+
+from __future__ import annotations
+
+import json
+import re
+from html.parser import HTMLParser
+
+_BLOCKS = {"p", "div", "br", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article", "header", "footer", "ul", "ol", "title"}
+_SILENT = {"script", "style", "noscript", "template"}
+
+
+class _Reader(HTMLParser):
+    """Text with line breaks at blocks, links, JSON-LD and meta values."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.links: list[tuple[str, str]] = []
+        self.ld: list[str] = []
+        self.meta: dict[str, str] = {}
+        self.titles: dict[str, list[str]] = {}
+        self.times: list[str] = []
+        self._silent = 0
+        self._ld = False
+        self._href: str | None = None
+        self._anchor: list[str] = []
+        self._open: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag in _SILENT:
+            self._silent += 1
+            self._ld = tag == "script" and "ld+json" in a.get("type", "")
+            if self._ld:
+                self.ld.append("")
+        if tag in _BLOCKS:
+            self.parts.append("\n")
+        if tag in ("title", "h1"):
+            self._open.append(tag)
+            self.titles.setdefault(tag, []).append("")
+        if tag == "a" and "href" in a:
+            self._href, self._anchor = a["href"], []
+        if tag == "meta":
+            name = (a.get("property") or a.get("name") or a.get("itemprop") or "").lower()
+            if name:
+                self.meta.setdefault(name, a.get("content", ""))
+        if tag == "time" and a.get("datetime"):
+            self.times.append(a["datetime"])
+
+    def handle_endtag(self, tag):
+        if tag in _SILENT and self._silent:
+            self._silent -= 1
+            self._ld = False
+        if tag in _BLOCKS:
+            self.parts.append("\n")
+        if self._open and self._open[-1] == tag:
+            self._open.pop()
+        if tag == "a" and self._href is not None:
+            self.links.append((self._href, " ".join("".join(self._anchor).split())))
+            self._href = None
+
+    def handle_data(self, data):
+        if self._ld:
+            self.ld[-1] += data
+        if self._silent:
+            return
+        self.parts.append(data)
+        if self._open:
+            self.titles[self._open[-1]][-1] += data
+        if self._href is not None:
+            self._anchor.append(data)
+
+
+def _read(html: str | None) -> _Reader:
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    return reader
+
+
+def visible_text(html: str | None) -> str:
+    """Text of a page: one line per block, single blanks, no empty lines."""
+    lines = (" ".join(line.split()) for line in "".join(_read(html).parts).split("\n"))
+    return "\n".join(filter(None, lines))
+
+
+def links(html: str | None) -> list[tuple[str, str]]:
+    return _read(html).links
+
+
+def headline(html: str | None) -> str | None:
+    """First h1, else og:title, else the title; null without any."""
+    r = _read(html)
+    for found in (r.titles.get("h1", []), [r.meta.get("og:title", "")], r.titles.get("title", [])):
+        for t in found:
+            if t.strip():
+                return " ".join(t.split())
+    return None
+
+
+def _walk(value, key: str):
+    if isinstance(value, dict):
+        if isinstance(value.get(key), str):
+            yield value[key]
+        for v in value.values():
+            yield from _walk(v, key)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _walk(v, key)
+
+
+_ZONED = re.compile(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$")
+
+
+def published(html: str | None) -> str | None:
+    """Publication time with zone, from JSON-LD, meta values or time tags.
+
+    A date without a time, or a time without a zone, is refused.
+    """
+    r = _read(html)
+    found: list[str] = []
+    for text in r.ld:
+        try:
+            found += _walk(json.loads(text), "datePublished")
+        except ValueError:
+            continue
+    found += [v for k, v in r.meta.items() if k in ("article:published_time", "datepublished", "pubdate")]
+    found += r.times
+    return next((t.strip() for t in found if _ZONED.match(t.strip())), None)
+
+
+_HEADER = re.compile(r"(?im)^.*litigation release no\.?\s*(?:lr-)?(\d+).*$")
+_FOOTER = re.compile(r"(?im)^\s*(?:last reviewed or updated|resources|modified)\b.*$")
+
+
+def release_body(html: str | None) -> tuple[str | None, str]:
+    """(release number, text from the header line to the footer)."""
+    text = visible_text(html)
+    head = _HEADER.search(text)
+    start = head.start() if head else 0
+    foot = _FOOTER.search(text, start)
+    return (head[1] if head else None), text[start : foot.start() if foot else len(text)].strip()
+
+
+_TICKER = re.compile(r"\((?:NYSE(?: American| Arca| MKT)?|NASDAQ(?:GS|GM|CM)?|Nasdaq|AMEX|OTC[A-Z]*)\s*:\s*([A-Z][A-Z.]{0,5})\)")
+
+
+def tickers_in(text: str | None) -> list[tuple[str, str]]:
+    """(ticker, the 150 characters before it) for each exchange-tagged ticker."""
+    t = text or ""
+    return [(m[1], t[max(0, m.start() - 150) : m.start()]) for m in _TICKER.finditer(t)]
+
+
+def ticker_for(text: str | None, name: str | None, accept: float = 80.0) -> str | None:
+    """The ticker that stands behind the company's name in a text.
+
+    A name under five characters must be a word of the 40 characters before;
+    a longer one is scored by partial ratio. The best from ``accept`` on wins.
+    """
+    from .fuzzy import partial_ratio
+
+    best, at = None, accept - 1e-9
+    key = (name or "").lower().strip()
+    for ticker, before in tickers_in(text):
+        if len(key) < 5:
+            score = 100.0 if key and key in re.findall(r"\w+", before[-40:].lower()) else 0.0
+        else:
+            score = partial_ratio(key, before.lower())
+        if score > at:
+            best, at = ticker, score
+    return best
