@@ -14,13 +14,17 @@ def brute(rows, threshold=0.93):
             i = parent[i]
         return i
 
-    for i in range(n):
-        for j in range(i + 1, n):
-            if x[i] is not None and x[j] is not None and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]):
-                if x[i] @ x[j] / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])) >= threshold:
-                    links[i] += 1
-                    links[j] += 1
-                    parent[root(j)] = root(i)
+    groups = {}
+    for i, v in enumerate(x):
+        if v is not None:
+            groups.setdefault((rows[i][2], len(v)), []).append(i)
+    for own in groups.values():
+        u = np.array([x[i] / np.sqrt(x[i] @ x[i]) for i in own])
+        for a, b in zip(*np.nonzero(np.triu(u @ u.T >= threshold, 1))):
+            i, j = own[a], own[b]
+            links[i] += 1
+            links[j] += 1
+            parent[root(j)] = root(i)
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
