@@ -147,3 +147,14 @@ def traded_events(payloads: DataFrame, releases: DataFrame) -> DataFrame:
     rows = rows.withColumns({"announcement_date": F.col("announcement_date").try_cast("date"), "last_trade_date": F.col("last_trade_date").try_cast("date")})
     checks = {"date_check": text.verify_date(F.col("announcement_date"), F.col("announcement_evidence"), F.col("_t")), "trade_check": text.verify_date(F.col("last_trade_date"), F.col("trade_evidence"), F.col("_t")), "instruments_check": text.check_instruments(F.col("instruments"), F.col("_t"))}
     return rows.withColumns(checks).drop("_t")
+
+
+def tickers_from_text(rows: DataFrame, body: str, name: str, out: str = "ticker") -> DataFrame:
+    """``rows`` with the exchange-tagged ticker that stands behind the name."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{out: [html.ticker_for(t, n) for t, n in zip(pdf[body], pdf[name])]})
+
+    return rows.mapInPandas(read, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import calendar, entity, models, releases
+from ..operators import calendar, checks, entity, idmap, models, releases
 from ..sources import bars, warehouse
 from ..streaming import windows
 from . import proxies as P
@@ -144,3 +144,67 @@ def share_classes(spark, sf_dir):
     v = load(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("root"), F.length("p_name").alias("len"), F.col("p_partkey").alias("symbol"), F.col("p_retailprice").alias("volume"))
     b = v.withColumnsRenamed({"symbol": "other", "volume": "other_volume"})
     return v.join(b, ["root", "len"]).where("symbol <> other AND other_volume >= 1.02 * volume").groupBy(F.col("symbol").alias("ticker")).agg(F.count("*").alias("siblings"), F.max("other_volume").alias("most"))
+
+
+DAY = "CAST(o_orderdate AS DATE)"
+
+
+@register("j13_fill_worklist", f"""WITH e AS (SELECT o_custkey AS cik, CAST(year(o_orderdate) AS INT) AS year, {DAY} AS d, CAST(o_orderkey AS VARCHAR) AS accession, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS p, o_orderpriority = '1-URGENT' AS has FROM orders)
+SELECT cik, year, array_to_string(list(accession ORDER BY p, d DESC, accession)[1:4], '|') AS accessions FROM e GROUP BY 1, 2 HAVING NOT bool_or(has)""")
+def fill_worklist(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "P", "acquisition_target").when(F.col("o_orderstatus") == "F", "earnings").otherwise("other")
+    ev = o.select(F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_orderkey").cast("string").alias("accession"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("day0"), kind.alias("event_type"))
+    t = o.select(F.col("o_orderkey").cast("string").alias("event_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "T").alias("ticker"))
+    return idmap.fill_worklist(ev, t).select("cik", "year", F.array_join("accessions", "|").alias("accessions"))
+
+
+@register("j40_day0_check", f"""WITH {P.sql_calendar()}, c AS (SELECT event_id, i0, CASE WHEN event_id % 50 = 0 THEN i0 - 1 ELSE i0 END AS t FROM ev)
+SELECT count(t) AS checked, count(*) FILTER (WHERE i0 <> t) AS different, count(*) FILTER (WHERE t IS NULL) AS missing, count(*) FILTER (WHERE i0 <> t) <= 5 AS passed FROM (SELECT c.i0, s.idx AS t FROM c LEFT JOIN s ON s.idx = c.t)""")
+def day0_check(spark, sf_dir):
+    cal = P.sessions(spark, sf_dir)
+    ev = P.announcements(spark, sf_dir)
+    true = F.when(F.col("event_id") % 50 == 0, F.col("i0") - 1).otherwise(F.col("i0"))
+    checked = ev.select("event_id", true.alias("idx")).join(F.broadcast(cal), "idx", "left").select("event_id", F.col("session").alias("true_day0"))
+    return checks.day0_check(checks.session_differences(checked, ev, cal))
+
+
+@register("j38_release_documents", f"""WITH d AS (SELECT o_orderkey AS a, o_custkey AS c, {DAY} AS d, o_orderstatus = 'F' AS ex, o_orderstatus <> 'O' OR o_orderkey % 2 = 0 AS pr FROM orders),
+r AS (SELECT c, d, min(a) FILTER (WHERE ex) AS rel FROM d GROUP BY 1, 2)
+SELECT CAST(a AS VARCHAR) AS accession, CASE WHEN ex THEN 'exhibit' WHEN rel IS NOT NULL THEN 'related' WHEN pr THEN 'primary' END AS source FROM d JOIN r USING (c, d)""")
+def release_documents(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string").alias("accession")
+    f = o.select(key, F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("filing_date"))
+    exhibits = o.where("o_orderstatus = 'F'").select(key, F.lit("exhibit").alias("kind"), F.lit(1).alias("seq"), F.lit("x").alias("text"))
+    primary = o.where("o_orderstatus <> 'O' OR o_orderkey % 2 = 0").select(key, F.lit("primary").alias("kind"), F.lit(0).alias("seq"), F.lit("p").alias("text"))
+    return checks.release_documents(f, exhibits.unionByName(primary)).select("accession", "source")
+
+
+@register("j37_ticker_in_text", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'TK' || substr('ABCDEFGHIJ', 1 + CAST(c_custkey % 10 AS INT), 1) END AS ticker FROM customer")
+def ticker_in_text(spark, sf_dir):
+    """Releases that name the company before its ticker, and another one."""
+    c = load(spark, sf_dir, "customer")
+    letter = F.substr(F.lit("ABCDEFGHIJ"), (F.col("c_custkey") % 10 + 1).cast("int"), F.lit(1))
+    named = F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(" (NYSE: TK"), letter, F.lit(") said")))
+    return releases.tickers_from_text(c.select("c_custkey", F.concat(F.coalesce(named, F.lit("")), F.lit(" that quite unrelated people (NASDAQ: ZZZ) agree")).alias("t"), F.col("c_name").alias("n")), "t", "n").select("c_custkey", "ticker")
+
+
+@register("j32_clean_events", "SELECT CAST(doc_id AS VARCHAR) AS lr_no, 'Acme Inc' AS issuer_name, CASE WHEN toxic = 1 THEN 'earnings' ELSE 'unknown' END AS event_type, 'both' AS instruments FROM labels")
+def clean_events(spark, sf_dir):
+    """Two rows of one issuer per release: the second names type and kind."""
+    lab = load(spark, sf_dir, "labels")
+    kind = F.when((F.col("toxic") == 1) & (F.col("ord") == 1), "earnings").otherwise("unknown")
+    rows = lab.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("doc_id").cast("string").alias("lr_no"), "ord", F.when(F.col("ord") == 0, "Acme Inc").otherwise("ACME Incorporated").alias("issuer_name"), kind.alias("event_type"),
+        F.lit(None).cast("date").alias("announcement_date"), F.lit(None).cast("date").alias("last_trade_date"), F.lit(None).cast("string").alias("trade_check"), F.lit(None).cast("string").alias("trade_evidence"),
+        F.when(F.col("ord") == 0, "stock").otherwise("options").alias("instruments"), F.lit("unknown").alias("direction"))
+    return releases.clean_events(rows).select("lr_no", "issuer_name", "event_type", "instruments")
+
+
+@register("j07_map_filter", "SELECT p_partkey, ticker FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ROOT' WHEN 1 THEN 'ROOTW' WHEN 2 THEN 'OTHER' ELSE 'ZVZZT' END AS ticker, p_partkey // 4 AS cik, p_size % 4 AS k FROM part) a WHERE ticker IN ('ROOT', 'OTHER') OR (ticker = 'ROOTW' AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey // 4 = a.cik AND b.p_size % 4 = 0))")
+def map_filter(spark, sf_dir):
+    k = F.col("p_size") % 4
+    ticker = F.when(k == 0, "ROOT").when(k == 1, "ROOTW").when(k == 2, "OTHER").otherwise("ZVZZT")
+    raw = load(spark, sf_dir, "part").select("p_partkey", ticker.alias("ticker"), F.floor(F.col("p_partkey") / 4).alias("cik"), F.lit("Some Company").alias("name"), F.when(k == 2, "CS").alias("type"))
+    return idmap.map_filter(raw).select("p_partkey", "ticker")
