@@ -61,12 +61,17 @@ def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
 
 def evaluate(df: DataFrame, scores: list[str], label: Column, event_id: str = "event_id") -> DataFrame:
     """One row per score: lift and hits at 5 % and 1 %, and AUC."""
-    out = None
+    parts = []
     for s in scores:
-        five, one = lift(df, s, label, 0.05, event_id), lift(df, s, label, 0.01, event_id)
-        row = five.select(F.lit(s).alias("score"), F.col("lift").alias("top5_lift"), "hits", "k").join(one.select(F.lit(s).alias("score"), F.col("lift").alias("top1_lift")), "score").join(auc(df, s, label).withColumn("score", F.lit(s)), "score")
-        out = row if out is None else out.unionByName(row)
-    return out
+        name = F.lit(s).alias("score")
+        parts.append(lift(df, s, label, 0.05, event_id).select(name, F.col("lift").alias("top5_lift"), "hits", "k"))
+        parts.append(lift(df, s, label, 0.01, event_id).select(name, F.col("lift").alias("top1_lift")))
+        parts.append(auc(df, s, label).select(name, "auc"))
+    # One-row results side by side: united, then the one value of each column.
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return every.groupBy("score").agg(*[F.max(c).alias(c) for c in ("top5_lift", "hits", "k", "top1_lift", "auc")])
 
 
 def budget_capture(df: DataFrame, score: str, label: Column, day: str, per_month: int = 50, event_id: str = "event_id") -> DataFrame:

@@ -116,10 +116,10 @@ SELECT n.n_nationkey AS symbol, s.idx, b0.volume FROM nation n JOIN s ON true LE
 def calendar_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every symbol on every session, null where it did not trade."""
     cal = P.sessions(spark, sf_dir)
-    spans = cal.agg(F.collect_list(F.struct("session", "idx")).alias("days"))
-    grid = P.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("symbol"), F.lit(1).alias("one"))
-    grid = grid.join(F.broadcast(spans.withColumn("one", F.lit(1))), "one").select("symbol", F.inline("days"))
-    return grid.join(P.bars(spark, sf_dir).withColumnRenamed("date", "session").select("symbol", "session", "volume"), ["symbol", "session"], "left").select("symbol", "idx", "volume")
+    last = cal.count() - 1
+    grid = P.load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("symbol"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("idx"))
+    grid = grid.join(F.broadcast(cal), "idx")
+    return grid.join(P.bars(spark, sf_dir).withColumnRenamed("date", "session").select("symbol", "session", "volume"), ["symbol", "session"], "left").select("symbol", F.col("idx").cast("long").alias("idx"), "volume")
 
 
 @register("d18_window_facts", f"""WITH {P.sql_calendar()} SELECT k.symbol, k.i0, count(*) AS n, sum(f.volume) AS volume
