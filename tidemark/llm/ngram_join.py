@@ -40,6 +40,9 @@ HASHES, BANDS, ROWS = 128, 25, 4
 STEP, TOLERANCE = 16, 1e-6
 #: Classes of a bucket compared in one group.
 TILE = 1000
+#: Classes with copies or links up to which they are sent to every task, so
+#: that texts stay where they are; beyond it texts are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _SEED = 20240229
 
 
@@ -362,7 +365,8 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     rows, special = _special_classes(docs, threshold)
     special = stored(special.select(F.col("key").alias("_key"), "rep", "keeper").withColumnsRenamed({"rep": "_rep", "keeper": "_keeper"}), "special")
-    joined = _with_key(docs).join(special, "_key", "left")
+    few = special.count() <= BROADCAST_ROWS
+    joined = _with_key(docs).join(F.broadcast(special) if few else special, "_key", "left")
     kept = joined.where(F.col("_keeper").isNull() | (F.col("_keeper") & F.col("doc_id").eqNullSafe(F.col("_rep"))))
     same = rows.select("doc_id", F.col("key").alias("_key")).join(special.where("_keeper"), "_key").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
     twice = stored(same.groupBy("_key").count().where("count > 1").select("_key"), "twice")
