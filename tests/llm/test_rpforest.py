@@ -67,3 +67,19 @@ def test_recall_on_the_supplied_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in frame.collect()]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in R.near_vectors(frame).collect())
     assert got == brute(rows)
+
+
+def test_every_label_gets_all_trees(spark, monkeypatch):
+    """More labels than one round fits: those of later rounds get as many trees."""
+    for name, value in (("LEAF", 20), ("LARGE", 60), ("SAMPLE", 640)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(3)
+    labels = [f"{i}/0.{i}" for i in range(25)]
+    rows = [(b"%d %d" % (i, k), f"{g}|16", 1, rng.standard_normal(16).astype("<f4").tobytes()) for i, g in enumerate(labels) for k in range(120)]
+    leaves = R.leaves_of(spark.createDataFrame(rows, R.LEAVES), "<f4").select("key", "grp").collect()
+    trees = {}
+    for r in leaves:
+        label, tree = r.grp.split("|16/")
+        trees.setdefault((bytes(r.key), label), set()).add(tree.split(".")[0])
+    assert len(trees) == len(rows) and len(labels) > R.SAMPLE // 64
+    assert {len(t) for t in trees.values()} == {R.TREES}

@@ -17,6 +17,7 @@ vector and its own forest of unions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -100,11 +101,17 @@ def _vectors(column, width: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(data), dtype=width).reshape(len(data), -1)
 
 
+#: Ends the name of a leaf; that of a group of vectors ends with its length.
+_LEAF_NAME = re.compile(r"/\d+\.\d+$", re.ASCII)
+
+
 def _fit_round(large: DataFrame, rows: DataFrame, width: str, first: int) -> dict[str, list[Tree]]:
     """Trees by name of the largest oversized groups, from a bounded sample.
 
     The groups share the sample in proportion to their size. A group that
-    the sample misses stays as it is until a later round.
+    the sample misses stays as it is until a later round. A group of vectors
+    gets all its trees, whatever the round; a leaf has trees beside it, so
+    one of its own is enough.
     """
     sizes = {r.grp: r.n for r in large.orderBy(F.desc("n"), "grp").limit(SAMPLE // 64).collect()}
     share = min(1.0, SAMPLE / sum(sizes.values()))
@@ -119,7 +126,7 @@ def _fit_round(large: DataFrame, rows: DataFrame, width: str, first: int) -> dic
         sample = unit_rows(np.frombuffer(b"".join(sorted(vecs)), dtype=width).reshape(len(vecs), -1))
         # Spill leaves 56 % of a node on each side, so halving takes 1.2 levels.
         depth = int(max(0, min(np.ceil(1.2 * np.log2(sizes[grp] / LEAF)), np.log2(len(vecs) / 8))))
-        trees[grp] = [Tree(sample, depth, _SEED + 1000 * first + t) for t in range(TREES if first == 0 else 1)]
+        trees[grp] = [Tree(sample, depth, _SEED + 1000 * first + t) for t in range(1 if _LEAF_NAME.search(grp) else TREES)]
     return trees
 
 
