@@ -50,3 +50,25 @@ def test_operator(spark):
         want.add((i, hashlib.sha256(S.written(b).encode()).hexdigest(), *n))
     assert got == want and S.scan_secrets(docs).count() == len(rows)
     assert S.scan_secrets(docs.limit(0)).count() == 0
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {"base64": LETTERS + "0123456789+/", "alnum": LETTERS + "0123456789", "base32": LETTERS[:26] + "234567", "letters": LETTERS, "upper": LETTERS[:26], "lower": LETTERS[26:]}
+ORDINARY = (
+    "Donaudampfschifffahrtsgesellschaft Geschwindigkeitsbegrenzung Rechtsschutzversicherungsgesellschaften Lebensmittelgeschaeft anticonstitutionnellement "
+    "intergouvernementalisation constitucionalmente responsabilidades otorrinolaringologo counterrevolutionaries electroencephalographically incomprehensibilities "
+    "internationalization uncharacteristically AbstractSingletonProxyFactoryBean XMLHttpRequestEventTarget getElementsByTagNameNS /usr/local/share/applications/ "
+    "state-of-the-art-technology Misunderstandings-and-more DEPARTMENT-OF-AGRICULTURE ======================== ________________________ ------------------------ zzzzzzzzzzzzzzzzzzzzzzzzzzz -=-=-=-=-=-=-=-=-=-=-=-=-="
+).split()
+
+
+def test_scan_finds_random_runs_and_leaves_words():
+    """Accuracy of the whole scan: nothing but the models decides on a run."""
+    scanner, rng = S.SecretScanner(), random.Random(41)
+    for name, alphabet in ALPHABETS.items():
+        for n in (20, 24, 32):
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+            found = sum(("markov", 4, 4 + n) in scanner.scan(f"see {key} here") for key in keys)
+            assert found >= 0.97 * len(keys), (name, n, found)
+    wrong = [word for word in ORDINARY if scanner.scan(f"see {word} here")]
+    assert len(wrong) <= 0.05 * len(ORDINARY), wrong

@@ -96,6 +96,34 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, str]]:
     return out
 
 
+# Parts that long words of several languages are made of.
+WORD_PARTS = (
+    "anti auto bio counter de dis electro ex for fore hyper im in inter ir micro mis multi non over para photo poly post pre pro pseudo psycho re semi sub super tele thermo trans ultra un under "
+    "able al ance and ate ation ed ence ent er ers ful fully hood ian ible ic ical ification ing ings ism ist istic ity ization less ly ment ness ology on or ous ship sion the that tion ward "
+    "act andre cal cept cha char ci clin comp cred dem dict duct fact flex form gram graph her his hon ject lead light log man mand mark med mit mort nect on ory port pos pri rect rupt scope scrib sect sing spect stand str struct ten tend th tract tri vent vers vis vol was water wh with wr "
+    "ab an auf aus be bei berg bewerb bund burg chen der die durch eigen ein einen en ent er erb ern es feld fahrt ge gegen geld gesell hand haupt haus heit ich ig isch keit kraft land lei lich licher lichkeit lung mit nach ober recht reich sch schaft schau schein schlag sicher staat steuer stand sprach tum ung ungs unter ver verfahr ver vor wald weg weise werk wesen wirtschaft wort zeit zer zeug zu zusammen zwischen pf tz cht "
+    "ai ais ait age aire aison ant au aux ce cha con dans de des ette eau eaux elle elles ement ent et eur eurs eux fran gouverne ille ir isation issant je la les leur lieu lle mes mais ne nous on ont oi oire ou ouille our ous par plus pour que qui re se sur teur tion tre un une vous "
+    "ado ador ales ando ar aria ario as asi car cion ciones con cual cuando dad dades de del desa el ella en entre era ero es esta iendo ion ismo ista la las llo los mente mento miento mos muy no os oso para pero por que quier rro se ser sin sobre tad tar tra trans una uno vez y"
+).split()
+
+
+def letter_samples(n: int = 8000, seed: int = 11) -> list[tuple[str, str]]:
+    """(text, label) rows without digits: ``random`` letters, ``ordinary`` long
+    words by rule, and the rulers (one or two characters repeated) of texts."""
+    rng, out = random.Random(seed), []
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = (lower, lower.upper(), lower + lower.upper())
+    for i in range(n):
+        out.append(("".join(rng.choices(alphabets[i % 3], k=rng.randint(20, 64))), "random"))
+        word, least = "", rng.randint(20, 40)
+        while len(word) < least:
+            word += rng.choice(WORD_PARTS)
+        out.append((word.title() if i % 4 == 1 else word.upper() if i % 4 == 2 else word, "ordinary"))
+        if i % 4 == 0:
+            out.append(("".join(rng.choices(_TOKEN_CHARS.decode(), k=rng.choice((1, 1, 2)))) * 20, "ordinary"))
+    return out
+
+
 def train(samples: Iterable[tuple[str, str]]) -> tuple[CharModel, CharModel]:
     """Models of the rows labelled ``random`` and ``ordinary``."""
     rows = list(samples)
@@ -104,7 +132,7 @@ def train(samples: Iterable[tuple[str, str]]) -> tuple[CharModel, CharModel]:
 
 class SecretScanner:
     def __init__(self, models: tuple[CharModel, CharModel] | None = None, threshold: float = THRESHOLD):
-        self.random, self.ordinary = models or train(labelled_samples())
+        self.random, self.ordinary = models or train(labelled_samples() + letter_samples())
         self.threshold = threshold
 
     def ratio(self, s: str) -> float:
@@ -130,9 +158,6 @@ class SecretScanner:
         base = list(spans)
         for start, end in runs(raw, _IS_TOKEN, TOKEN_LEAST):
             token = raw[start:end].decode()
-            # A run without digits, or of one character repeated, is never a key.
-            if sum(map(str.isdigit, token)) < 2 or len(set(token)) < 8:
-                continue
             at = points(start)
             inside = any(a <= at and at + end - start <= b or at <= a and b <= at + end - start for _, a, b in base)
             if not inside and self.ratio(token) >= self.threshold:
