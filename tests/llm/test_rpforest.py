@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import rpforest as R
 
@@ -83,3 +84,19 @@ def test_every_label_gets_all_trees(spark, monkeypatch):
         trees.setdefault((bytes(r.key), label), set()).add(tree.split(".")[0])
     assert len(trees) == len(rows) and len(labels) > R.SAMPLE // 64
     assert {len(t) for t in trees.values()} == {R.TREES}
+
+
+def test_no_link_is_lost_in_a_mass_of_near_copies(spark):
+    """Thousands of near copies around the threshold, inside a larger table."""
+    rng, n, dim = np.random.default_rng(1), 3000, 64
+    x = rng.standard_normal((20_000 + n, dim))
+    x[:n] = x[n] / np.sqrt(x[n] @ x[n]) + rng.standard_normal((n, dim)) * np.sqrt((1 / 0.945 - 1) / dim)
+    frame = spark.createDataFrame([(b"%d" % i, "g|64", 1, v.tobytes()) for i, v in enumerate(x)], R.LEAVES)
+    leaves = {}
+    for r in R.leaves_of(frame, "<f8").select(F.col("key").cast("string").cast("int").alias("i"), "grp").where(f"i < {n}").collect():
+        leaves.setdefault(r.grp, []).append(r.i)
+    u, together = R.unit_rows(x[:n]), np.zeros((n, n), dtype=bool)
+    for own in leaves.values():
+        together[np.ix_(own, own)] = True
+    links = u @ u.T >= R.THRESHOLD
+    assert links.sum() > 4_000_000 and not (links & ~together).any()

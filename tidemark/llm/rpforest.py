@@ -17,6 +17,7 @@ vector and its own forest of unions.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -30,14 +31,19 @@ from .components import connected_components
 from .groups import Forest, arrow_schema, clustered, record_batch, runs
 
 THRESHOLD = 0.93
+#: Trees of a group at least; deeper ones need more of them.
 TREES = 6
 #: Vectors of a leaf to aim at, and from which a leaf is split again.
 LEAF, LARGE = 400, 2000
-#: Half the width of the band around a split that goes to both sides: at least
-#: this, or this share of the projections' deviation. Two unit vectors at the
-#: threshold are 0.37 apart; in 64 dimensions their projections differ by about
-#: 0.05, so a split parts them with some 3 %, and six trees with 1e-5.
-SPILL, SPILL_SHARE = 0.02, 0.16
+#: Half widths, least first, of the band around a split that goes to both
+#: sides. A node takes the first that parts a pair at the threshold with a
+#: chance of ``PARTED`` at most, so it widens where the vectors lie dense.
+SPILLS, PARTED = (0.02, 0.025, 0.03, 0.035, 0.04, 0.045, 0.05, 0.06, 0.07, 0.08, 0.09, 0.1), 0.03
+#: Chance that all trees of a group part such a pair.
+MISSED = 1e-5
+#: Share of a node on a side from which a split costs more comparisons than
+#: it saves: both sides together have 2 * 0.7 ** 2 of the node's pairs.
+WIDEST = 0.7
 #: Vectors in the sample that fits the trees of a round, over all groups.
 SAMPLE = 40_000
 ROUNDS = 40
@@ -52,6 +58,28 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _spill(away: np.ndarray, dim: int) -> float:
+    """Half the band's width for a node whose projections are so far from the cut.
+
+    Unit vectors at the threshold are ``sqrt(2 - 2 * THRESHOLD)`` apart, so
+    their projections differ by a normal number of that deviation over
+    ``sqrt(dim)``. A pair is parted if one end is beyond the band on one side
+    and the difference takes the other beyond it on the other side.
+    """
+    sd = math.sqrt((2 - 2 * THRESHOLD) / dim)
+    for spill in SPILLS:
+        far = away[(away > spill) & (away < spill + 6 * sd)]
+        if sum(math.erfc((d + spill) / sd / math.sqrt(2)) for d in far.tolist()) <= 2 * PARTED * len(away):
+            break
+    return spill
+
+
+def trees_for(n: int) -> int:
+    """Trees of a group of n vectors, so that few pairs part in all of them."""
+    depth = max(1, math.ceil(1.2 * math.log2(max(2, n / LEAF))))
+    return max(TREES, math.ceil(math.log(MISSED) / math.log(1 - (1 - PARTED) ** depth)))
+
+
 class Tree:
     """One random-projection tree: directions and medians by node."""
 
@@ -73,9 +101,9 @@ class Tree:
         w = w / np.sqrt(w @ w)
         p = x[rows] @ w
         cut = float(np.median(p))
-        spill = max(SPILL, SPILL_SHARE * float(p.std()))
+        spill = _spill(np.abs(p - cut), x.shape[1])
         left, right = rows[p <= cut + spill], rows[p > cut - spill]
-        if max(len(left), len(right)) > 0.9 * len(rows):
+        if max(len(left), len(right)) > WIDEST * len(rows):
             return
         self.nodes[node] = w, cut, spill
         self._fit(x, left, 2 * node, depth - 1)
@@ -126,7 +154,7 @@ def _fit_round(large: DataFrame, rows: DataFrame, width: str, first: int) -> dic
         sample = unit_rows(np.frombuffer(b"".join(sorted(vecs)), dtype=width).reshape(len(vecs), -1))
         # Spill leaves 56 % of a node on each side, so halving takes 1.2 levels.
         depth = int(max(0, min(np.ceil(1.2 * np.log2(sizes[grp] / LEAF)), np.log2(len(vecs) / 8))))
-        trees[grp] = [Tree(sample, depth, _SEED + 1000 * first + t) for t in range(1 if _LEAF_NAME.search(grp) else TREES)]
+        trees[grp] = [Tree(sample, depth, _SEED + 1000 * first + t) for t in range(1 if _LEAF_NAME.search(grp) else trees_for(sizes[grp]))]
     return trees
 
 
