@@ -44,3 +44,30 @@ def test_freeze_gate(tmp_path):
     assert checks.frozen(str(tmp_path))
     (tmp_path / "f").write_text("y")
     assert not checks.frozen(str(tmp_path))
+
+
+def test_model_queries_run_the_whole_job(monkeypatch):
+    """500 trees, 100 iterations, five folds: the operators' own figures."""
+    import inspect
+
+    from tidemark.operators import models
+    from tidemark.plans import misc
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+    got = {}
+    monkeypatch.setattr(misc, "scored", lambda spark, sf_dir: Rows())
+    for name, query in (("isolation_forest", misc.isolation_forest), ("supervised", misc.boosted), ("out_of_fold", misc.out_of_fold)):
+        signature = inspect.signature(getattr(models, name))
+
+        def spy(*args, _name=name, _signature=signature, **kwargs):
+            call = _signature.bind(*args, **kwargs)
+            call.apply_defaults()
+            got[_name] = call.arguments
+
+        monkeypatch.setattr(models, name, spy)
+        query(None, "")
+    assert got["isolation_forest"]["trees"] == 500 and got["supervised"]["iterations"] == 100
+    assert (got["out_of_fold"]["folds"], got["out_of_fold"]["iterations"]) == (5, 100)

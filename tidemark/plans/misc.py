@@ -18,19 +18,19 @@ load = P.load
 @register("k01_isolation_forest")
 def isolation_forest(spark, sf_dir):
     df = scored(spark, sf_dir).select("event_id", "z_m1", "z_m2", "charged")
-    return models.isolation_forest(df, df, ["z_m1", "z_m2"], trees=100)
+    return models.isolation_forest(df, df, ["z_m1", "z_m2"])
 
 
 @register("k02_boosted_trees")
 def boosted(spark, sf_dir):
     df = scored(spark, sf_dir).select("event_id", "z_m1", "z_m2", "charged")
-    return models.supervised(df, df, ["z_m1", "z_m2"], "charged", iterations=20)
+    return models.supervised(df, df, ["z_m1", "z_m2"], "charged")
 
 
 @register("k03_out_of_fold")
 def out_of_fold(spark, sf_dir):
     df = scored(spark, sf_dir).select("event_id", "z_m1", "z_m2", "charged")
-    return models.out_of_fold(df, ["z_m1", "z_m2"], "charged", "event_id", folds=3, iterations=5)
+    return models.out_of_fold(df, ["z_m1", "z_m2"], "charged", "event_id")
 
 
 @register("j36_page_texts")
