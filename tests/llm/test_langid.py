@@ -55,3 +55,11 @@ def test_counts_are_the_same_in_small_pieces(spark, monkeypatch):
     whole = sorted(map(tuple, L.count_grams(rows).collect()))
     monkeypatch.setattr(L, "COUNT_CODES", 7)
     assert sorted(map(tuple, L.count_grams(rows).collect())) == whole
+
+
+def test_letterless_texts_are_rejected_without_profiles(spark):
+    rows = [(1, "the cat"), (2, None), (3, ""), (4, "123 $$ ..."), (5, "日本"), (6, "7 \n é")]
+    docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    out = L.keep_identified(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [1, 5, 6]

@@ -199,11 +199,12 @@ def keep_identified(docs: DataFrame, reject_distance: float = REJECT_DISTANCE) -
     """Rows whose text is in a known language, with the columns of ``docs``.
 
     Rejected are texts without any letter, null texts, and texts whose
-    distance to the nearest profile is above ``reject_distance``.
+    distance to the nearest profile is above ``reject_distance``. Where no
+    labelled row teaches a profile, only the first two can be rejected.
     """
     split = held_out_split(F.col("doc_id"))
     model = train(docs.where(F.col("doc_id").isNotNull() & ~split).select("lang", "text"))
     if not model.languages:
-        return docs
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     kept = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("distance") <= reject_distance))
     return kept.select(*docs.columns)
