@@ -102,3 +102,8 @@ def test_parts_give_the_same_leaks(spark, monkeypatch):
     monkeypatch.setattr(D, "PART_ITEMS", 9)
     assert {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()} == whole
     assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in D.drop_leaks(docs, bench).collect()} == {d for d, _ in whole}
+
+
+def test_number_of_leaks_of_the_supplied_tables_is_exact(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "benchmark"))
+    assert D.find_leaks(docs, bench).count() == 245
