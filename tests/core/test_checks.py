@@ -17,7 +17,7 @@ def test_day0_differences(spark):
 
 def test_worklist_notes(spark):
     work = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "event_id string")
-    daily = spark.createDataFrame([("a", D(2023, 6, 5), "shifted", ""), ("b", D(2023, 6, 6), "8k_no_data", ""), ("c", D(2023, 6, 7), "8k", "")], "event_id string, day0 date, basis string, prior_moves string")
+    daily = spark.createDataFrame([("a", D(2023, 6, 5), "late_8k_shift", ""), ("b", D(2023, 6, 6), "8k_no_data", ""), ("c", D(2023, 6, 7), "8k_no_move", "")], "event_id string, day0 date, basis string, prior_moves string")
     moves = spark.createDataFrame([("a", dt.datetime(2023, 6, 5, 16, 30)), ("z", dt.datetime(2023, 6, 5, 16, 30))], "event_id string, ts timestamp_ntz")
     got = {r.event_id: (r.same_day, r.note) for r in checks.filled_worklist(work, daily, moves).collect()}
     assert got == {"a": (True, ""), "b": (None, "too little history"), "c": (None, "no minute move"), "d": (None, "no ticker or bars")}
@@ -25,10 +25,10 @@ def test_worklist_notes(spark):
 
 
 def test_release_lookup(spark):
-    f = spark.createDataFrame([("1", 7, D(2023, 1, 2)), ("2", 7, D(2023, 1, 2)), ("3", 7, D(2023, 1, 3)), ("4", 8, D(2023, 1, 2))], "accession string, cik long, filing_date date")
-    d = spark.createDataFrame([("1", "exhibit", 2, "late"), ("1", "exhibit", 1, "ex"), ("2", "primary", 0, "p2"), ("3", "primary", 0, "p3")], "accession string, kind string, seq int, text string")
+    f = spark.createDataFrame([("1", 7, "8-K", D(2023, 1, 3)), ("2", 7, "8-K", D(2023, 1, 2)), ("3", 7, "8-K", D(2023, 1, 4)), ("4", 8, "8-K", D(2023, 1, 2)), ("5", 9, "8-K", D(2023, 1, 2)), ("6", 9, "425", D(2023, 1, 2)), ("7", 9, "10-Q", D(2023, 1, 2))], "accession string, cik long, form string, filing_date date")
+    d = spark.createDataFrame([("1", "exhibit", 2, "late"), ("1", "exhibit", 1, "ex"), ("2", "primary", 0, "p2"), ("3", "primary", 0, "p3"), ("6", "primary", 0, "p6"), ("7", "exhibit", 0, "p7")], "accession string, kind string, seq int, text string")
     got = {r.accession: (r.text, r.source) for r in checks.release_documents(f, d).collect()}
-    assert got == {"1": ("ex", "exhibit"), "2": ("ex", "related"), "3": ("p3", "primary"), "4": (None, None)}
+    assert got == {"1": ("ex", "exhibit"), "2": ("ex", "related"), "3": ("p3", "primary"), "4": (None, None), "5": ("p6", "related"), "6": ("p6", "primary"), "7": ("p7", "exhibit")}
 
 
 def test_freeze_gate(tmp_path):

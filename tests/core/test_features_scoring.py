@@ -105,44 +105,110 @@ def test_peer_fallback_pool(spark):
     assert sum(n for g, n in sizes.items() if g.endswith("/all")) == 50 and all(n < 20 for g, n in sizes.items() if g.endswith("/all"))
 
 
-def bars_with_jump(spark, jump_at, size, seed=3, volume_times=10, after_close=True):
+def test_features_do_not_depend_on_partitions(spark):
+    """Equal bits over repeated runs and other numbers of partitions."""
+    h, ev = history(5, boost=1), spark.createDataFrame([(1, k) for k in (350, 380, 400)], "symbol int, i0 long")
+    runs = []
+    for n in (4, 1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        runs.append([r.asDict() for r in features.event_features(ev.repartition(n), facts(spark, *h).repartition(n)).orderBy("i0", "window").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 6
+
+
+def test_excluded_types(spark):
+    rows = spark.createDataFrame([(2.0, "CS"), (0.5, "CS"), (None, "CS"), (2.0, None), (2.0, "ADRS"), (2.0, "NYRS"), (2.0, "ADRW")], "p double, k string")
+    assert [r.x for r in rows.select(features.in_universe(F.col("p"), F.col("k")).alias("x")).collect()] == [True, False, False, True, False, False, True]
+
+
+def daily(spark, changes, accepted="late", n=300, at=280, seed=3):
+    """A calm stock with (place, return, volume times) changes, and its filing at ``at``."""
     rng = np.random.default_rng(seed)
-    days = [d.date() for d in pd.bdate_range("2022-01-03", periods=300)]
-    ar = rng.normal(0, 0.01, 300)
-    volume = np.full(300, 1000.0)
-    if jump_at is not None:
-        ar[jump_at] = size
-        volume[jump_at] *= volume_times
+    days = [d.date() for d in pd.bdate_range("2022-01-03", periods=n)]
+    ar, volume = rng.normal(0, 0.01, n), np.full(n, 1000.0)
+    for place, size, times in changes:
+        ar[place], volume[place] = size, 1000.0 * times
     rows = spark.createDataFrame([(1, d, float(a), float(v)) for d, a, v in zip(days, ar, volume)], "symbol int, date date, ar double, volume double")
-    ev = spark.createDataFrame([("e", 1, days[280], after_close)], "event_id string, symbol int, day0_8k date, after_close boolean")
+    stamps = {"late": (days[at - 1], 17), "morning": (days[at], 8), "in session": (days[at - 1], 15), "two before": (days[at - 2], 18)}
+    stamp = dt.datetime.combine(stamps[accepted][0], dt.time(stamps[accepted][1])) if accepted else None
+    ev = spark.createDataFrame([("e", 1, days[at], stamp)], "event_id string, symbol int, day0_8k date, accepted timestamp_ntz")
     return days, daymove.choose_day0(ev, rows).first()
 
 
-def test_daily_rule(spark):
-    days, r = bars_with_jump(spark, 279, 0.3)
-    assert (r.day0, r.basis, r["shift"]) == (days[279], "shifted", 1)
-    days, r = bars_with_jump(spark, 279, 0.3, after_close=False)
-    assert (r.day0, r.basis, r.prior_moves) == (days[280], "8k", str(days[279]))
-    days, r = bars_with_jump(spark, 279, 0.3, volume_times=1)
-    assert r.basis == "8k" and r.prior_moves == ""
-    assert bars_with_jump(spark, None, 0)[1].basis == "8k"
+@pytest.mark.parametrize(("changes", "accepted", "basis", "prior"), [
+    ([(279, 0.3, 10)], "late", "late_8k_shift", []),
+    ([(279, 0.3, 10)], "morning", "8k_no_move", [279]),
+    ([(279, 0.3, 10)], "in session", "8k_no_move", [279]),
+    ([(279, 0.3, 10)], "two before", "8k_no_move", [279]),
+    ([(280, 0.3, 10)], "late", "8k_confirmed", []),
+    ([(280, -0.3, 10)], None, "8k_confirmed", []),
+    ([(278, 0.2, 5), (279, 0.3, 10)], "late", "late_8k_shift", [278]),
+    ([(279, 0.3, 10), (280, -0.3, 10)], "late", "8k_confirmed", []),  # undone by S itself
+    ([(279, 0.06, 12)], "late", "late_8k_shift", []),  # small, but on heavy volume
+    ([(279, 0.04, 12)], "late", "8k_no_move", []),
+    ([(279, 0.3, 1)], "late", "8k_no_move", []),
+    ([(277, 0.3, 10)], "late", "8k_no_move", []),
+    ([], "late", "8k_no_move", []),
+])
+def test_daily_rule(spark, changes, accepted, basis, prior):
+    days, r = daily(spark, changes, accepted)
+    shifted = basis == "late_8k_shift"
+    assert (r.basis, r["shift"], r.day0) == (basis, int(shifted), days[279 if shifted else 280])
+    assert r.prior_moves == "|".join(str(days[i]) for i in prior)
+
+
+def test_daily_rule_notes(spark):
+    days, r = daily(spark, [(279, 0.3, 10)])
+    assert r.note.startswith(f"8-K accepted {days[279]} 17:00, after the close; {days[279]}: AR +30.0% on 10x volume, ") and "threshold 5.0%" in r.note
+    days, r = daily(spark, [(278, 0.3, 10)])
+    assert r.note.startswith(f"no announcement-sized move on {days[280]}; threshold 5.0%; announcement-sized moves before day 0")
+
+
+def test_daily_rule_takes_a_robust_deviation(spark):
+    """A few shocks in the baseline don't raise the bar; a volatile stock's bar is higher."""
+    shocks = [(k, 0.5, 1) for k in (60, 90, 120, 150)]
+    assert daily(spark, [*shocks, (279, 0.08, 5)])[1].basis == "late_8k_shift"
+    loud = [(k, 0.05 if k % 2 else -0.05, 1) for k in range(30, 250)]
+    assert daily(spark, [*loud, (279, 0.08, 5)])[1].basis == "8k_no_move"
+    assert daily(spark, [*loud, (279, 0.3, 5)])[1].basis == "late_8k_shift"
 
 
 def test_daily_rule_without_history(spark):
-    rows = spark.createDataFrame([(1, dt.date(2024, 1, 2), 0.5, 9.0)], "symbol int, date date, ar double, volume double")
-    ev = spark.createDataFrame([("e", 1, dt.date(2024, 1, 3), True), ("f", 2, dt.date(2024, 1, 3), True)], "event_id string, symbol int, day0_8k date, after_close boolean")
-    assert {r.basis for r in daymove.choose_day0(ev, rows).collect()} == {"8k_no_data"}
+    rows = spark.createDataFrame([(1, dt.date(2024, 1, 2), 0.5, 9.0), (1, dt.date(2024, 1, 3), 0.5, 9.0)], "symbol int, date date, ar double, volume double")
+    ev = spark.createDataFrame([("e", 1, dt.date(2024, 1, 3), None), ("f", 2, dt.date(2024, 1, 3), None), ("g", None, dt.date(2024, 1, 3), None), ("h", 1, dt.date(2024, 1, 4), None)], "event_id string, symbol int, day0_8k date, accepted timestamp_ntz")
+    got = {r.event_id: (r.basis, r.note) for r in daymove.choose_day0(ev, rows).collect()}
+    assert got == {"e": ("8k_no_data", "0 baseline sessions (need 60)"), "f": ("8k_no_data", "no bar for 2024-01-03"), "g": ("no_ticker", "no ticker for the company on day 0"), "h": ("8k_no_data", "no bar for 2024-01-04")}
 
 
-def test_first_move(spark):
+def minutes(jump=None, days=15, calm=1000.0):
+    """Bars every two minutes from 9:30 to 19:30; from ``jump`` = (day, minute) on 20 % up, six times the volume there."""
     rows, rng = [], random.Random(1)
-    for d in range(6):
+    for d in range(days):
         for m in range(0, 600, 2):
-            t = dt.datetime(2024, 3, 4 + d, 9, 30) + dt.timedelta(minutes=m)
-            late = t.hour >= 16
-            price = 100 + rng.uniform(-0.05, 0.05) + (20 if d == 5 and m >= 420 else 0)
-            rows.append(("A", t, price, 6000.0 if d == 5 and m >= 420 else 50.0 if late else 1000.0 + rng.random()))
-    got = daymove.first_move(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, c double, v double")).first()
-    assert got.ts == dt.datetime(2024, 3, 9, 16, 30) and got.move == pytest.approx(0.2, abs=0.01)
-    calm = spark.createDataFrame([r for r in rows if r[1].day < 9], "symbol string, ts timestamp_ntz, c double, v double")
-    assert daymove.first_move(calm).count() == 0
+            t = dt.datetime(2024, 3, 4) + dt.timedelta(days=d, hours=9, minutes=30 + m)
+            up = jump is not None and (d, m) >= jump
+            at = jump is not None and d == jump[0] and up
+            rows.append(("A", t, 100 + rng.uniform(-0.05, 0.05) + 20 * up, 6 * calm if at else 50.0 if t.hour >= 16 else calm + rng.random()))
+    return rows
+
+
+@pytest.mark.parametrize(("jump", "day", "found"), [((13, 420), 14, (13, 420)), ((14, 100), 14, (14, 100)), ((14, 100), 13, None), ((11, 100), 14, None), (None, 14, None)])
+def test_first_move(spark, jump, day, found):
+    """Only day 0 and the two sessions before it are searched."""
+    bars = spark.createDataFrame(minutes(jump), "symbol string, ts timestamp_ntz, c double, v double")
+    cal = calendar.numbered(bars.select(F.to_date("ts").alias("session")))
+    ev = spark.createDataFrame([("e", "A", dt.date(2024, 3, 4) + dt.timedelta(days=day))], "event_id string, symbol string, day0 date")
+    got = daymove.first_move(ev, bars, cal).first()
+    if found is None:
+        assert got.ts is None and got.note.startswith("no move met the rules")
+    else:
+        assert got.ts == dt.datetime(2024, 3, 4, 9, 30) + dt.timedelta(days=found[0], minutes=found[1])
+        assert got.move == pytest.approx(0.2, abs=0.01) and got.threshold == pytest.approx(0.05)
+
+
+def test_first_move_without_baseline(spark):
+    bars = spark.createDataFrame(minutes((4, 100), days=5), "symbol string, ts timestamp_ntz, c double, v double")
+    cal = calendar.numbered(bars.select(F.to_date("ts").alias("session")))
+    ev = spark.createDataFrame([("e", "A", dt.date(2024, 3, 8)), ("f", "B", dt.date(2024, 3, 8))], "event_id string, symbol string, day0 date")
+    got = {r.event_id: (r.ts, r.note) for r in daymove.first_move(ev, bars, cal).collect()}
+    assert got == {"e": (None, "too little trading before the window for a baseline"), "f": (None, "no minute bars")}

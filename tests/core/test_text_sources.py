@@ -13,32 +13,93 @@ from tidemark.streaming import windows
 
 D = dt.date
 PAGE = """<html><head><title>T</title><script>var x = 'hidden';</script>
-<script type="application/ld+json">{"@graph": [{"datePublished": "2023-11-02T10:00:00Z"}]}</script></head><body><div>menu</div>
-<h1>Litigation Release No. 25000 / June 5, 2023</h1><p>He traded <b>shares</b> before&nbsp;the news; insider trading.</p><p>Last Reviewed or Updated: x</p><a href="/a?b=1">Go <i>on</i></a></body></html>"""
+<script type="application/ld+json">{"@graph": [{"datePublished": "2023-11-02T10:00:00Z"}]}</script></head><body><nav>insider trading</nav><main><h1>SEC v. Doe</h1>
+<p>Litigation Release No. 25000 / June 5. 2023</p><p>He traded <b>shares</b> before&nbsp;the news; he was tipped.</p><p>Last Reviewed or Updated: FINRA</p></main><a href="/a?b=1">Go <i>on</i></a></body></html>"""
 
 
 def test_html():
     assert "hidden" not in html.visible_text(PAGE) and "He traded shares before the news" in html.visible_text(PAGE)
-    assert html.release_body(PAGE)[0] == "25000" and html.release_body(PAGE)[1].endswith("insider trading.")
-    assert html.headline(PAGE).startswith("Litigation Release") and html.links(PAGE) == [("/a?b=1", "Go on")]
-    assert html.published(PAGE) == "2023-11-02T10:00:00Z"
-    for bad in ("2023-11-02", "2023-11-02T10:00:00"):
-        assert html.published(f'<time datetime="{bad}">x</time>') is None
-    assert html.visible_text(None) == "" and html.headline("") is None
+    number, who, body, day = html.release(PAGE)
+    assert (number, who, day) == (25000, "SEC v. Doe", D(2023, 6, 5)) and body.startswith("Litigation Release") and body.endswith("he was tipped.")
+    assert html.page_title(PAGE) == "SEC v. Doe" and html.links(PAGE) == [("/a?b=1", "Go on")]
+    assert html.page_time(PAGE) == (dt.datetime(2023, 11, 2, 6, 0), "json-ld")
+    assert html.visible_text(None) == "" and html.page_title("") == "" and html.release("<p>No head</p>") is None
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("Litigation Release No. 24000 / Dec. 18, 2020\nx", D(2020, 12, 18)), ("Litigation Release No. 24000 / January 13 2020", D(2020, 1, 13)), ("Litigation Release No. 24000\nSept. 5, 2019\nFiled March 1, 2018", D(2019, 9, 5)),
+    ("Litigation Release No. 24000\nSEC v. Doe\nMarch 1, 2018", None), ("Litigation Release No. 24000 / Smarch 1, 2018", None),
+])
+def test_header_dates(body, want):
+    assert html.header_date(body) == want
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<time datetime="2023-11-02">x</time>', None), ('<time datetime="2023-11-02T10:00:00">x</time>', None), ('<time datetime="2023-01-02T10:00:00-05:00">x</time>', dt.datetime(2023, 1, 2, 10)),
+    ('<meta itemprop="datePublished" content="2023-07-02T10:00:00+0000">', dt.datetime(2023, 7, 2, 6)), ("<p>NEW YORK, Nov 02, 2023, 06:00 ET</p>", dt.datetime(2023, 11, 2, 6)), ("<p>November 2, 2023 06:30 PM Eastern Daylight Time</p>", dt.datetime(2023, 11, 2, 18, 30)),
+    ("<p>November 2, 2023 06:30 GMT</p>", None),
+])
+def test_page_times(page, want):
+    assert html.page_time(page)[0] == want
+
+
+INDEX = """<table class="tableFile"><tr><th>Seq</th></tr><tr><td>1</td><td>Report</td><td><a href="/ix?doc=/d/main.htm">main.htm</a></td><td>8-K</td></tr>
+<tr><td>2</td><td>x</td><td><a href="/d/ex992.htm">a</a></td><td>EX-99.2</td></tr><tr><td>3</td><td>x</td><td><a href="/d/ex991.htm">a</a></td><td> ex-99.1 </td></tr><tr><td>short</td></tr></table>"""
+
+
+def test_filing_index():
+    base = "https://host.example/f/index.htm"
+    assert html.exhibit_url(INDEX, base) == "https://host.example/d/ex991.htm"
+    assert html.primary_url(INDEX, base) == "https://host.example/d/main.htm"
+    assert html.exhibit_url("<p>none</p>", base) is None and html.primary_url("", base) is None
+
+
+RELEASE = """Exhibit 99.1
+FOR IMMEDIATE RELEASE
+Filed by Widget Corp pursuant to Rule 425
+Widget Corp Announces Agreement to Combine with
+Gadget Holdings in an All-Stock Deal
+A sub-heading that is quite a lot longer than the headline itself
+DENVER, Nov. 2, 2023 /PRNewswire/ -- Widget said today, as of March 1, 2020, ..."""
+
+
+def test_exhibits():
+    wire, day, headline = html.read_exhibit(RELEASE)
+    assert (wire, day) == ("PR Newswire", D(2023, 11, 2))
+    assert headline == "Widget Corp Announces Agreement to Combine with Gadget Holdings in an All-Stock Deal"
+    assert html.read_exhibit("Tiny Firm Wins\nMay 3, 2021 something")[1:] == (D(2021, 5, 3), "Tiny Firm Wins")
+    assert html.read_exhibit("") == (None, None, None)
+
+
+def test_page_acceptance():
+    page = '<meta property="og:title" content="Widget Corp Announces Agreement"><meta name="date" content="2023-11-02T10:00:00Z">'
+    head, day = "Widget Corp Announces Agreement", D(2023, 11, 2)
+    assert html.check_page(page, head, day, None)[:2] == (dt.datetime(2023, 11, 2, 6), "meta")
+    assert html.check_page(page, head, D(2023, 11, 1), None)[1] == "published 2023-11-02 06:00 ET, dateline 2023-11-01"
+    assert html.check_page(page, "Something Else Entirely Happened", day, None)[1].startswith("title match")
+    assert html.check_page(page, head, None, D(2023, 11, 4))[0] is not None
+    assert html.check_page(page, head, None, D(2023, 11, 9))[1] == "published 2023-11-02 ET, filed 2023-11-09"
+    assert html.check_page("<h1>x</h1>", head, day, None)[1] == "no time on page"
+    assert html.on_wire("https://www.prnewswire.com/x") and not html.on_wire("https://notprnewswire.com/x")
+
+
+BOTH = "Acme Works (NYSE: ACM) agreed. " + "More words. " * 15 + "Zeta Corp (NASDAQ: ZET) did too"
 
 
 @pytest.mark.parametrize(("t", "name", "want"), [
-    ("Acme Holdings (NYSE: ACM) and Zeta Corp (NASDAQ: ZET) merge", "Acme Holdings", "ACM"), ("Acme Holdings (NYSE: ACM) and Zeta Corp (NASDAQ: ZET) merge", "zeta corp", "ZET"),
-    ("The IBM unit (NYSE: IBM)", "IBM", "IBM"), ("Someone else (NYSE: SE)", "Quite Different Company", None), ("none here", "Acme", None),
+    (BOTH, "Acme Works Holdings", "ACM"), (BOTH, "zetas corp", "ZET"), (BOTH, "ZWX Corp|Zeta Corp.", "ZET"), ("Acme Works (NYSE: ACM) and Zeta (NYSE: ZET)", "Acme Works", "ZET"),
+    ("The IBM unit (NYSE: IBM)", "IBM", "IBM"), ("PHX sold its arm to a partner called Realgood Worldwide (NYSE: RLG)", "PHX Corp", None), ("Someone else (NYSE: SE)", "Quite Different Company", None), ("none here", "Acme", None),
+    ("Old Energy Corp. (nasdaq capital market: OLD)", "New Title Inc|Old Energy Corp", "OLD"), ('Acme Works, Inc. NYSE American: "ACW"', "ACME WORKS INC /DE/", "ACW"), ("Acme Works (OTC: ACW)", "Acme Works", None), ("Acme Works (NYSE: acw)", "Acme Works", None),
+    ("x" * 8000 + "Acme Works (NYSE: ACW)", "Acme Works", None),
 ])
 def test_ticker_for(t, name, want):
-    assert html.ticker_for(t, name) == want
+    assert html.ticker_for(t, name)[0] == want
 
 
 def test_parse_releases(spark):
     r = releases.parse_releases(spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
-    assert (r[0].lr_no, r[0].release_date, r[0].is_insider_candidate, r[0].mentions_options) == ("25000", D(2023, 6, 5), True, False)
-    assert r[1].lr_no is None and r[1].text == ""
+    assert (r[0].lr_no, r[0].release_date, r[0].is_insider_candidate, r[0].mentions_options, r[0].mentions_finra) == (25000, D(2023, 6, 5), True, False, False)
+    assert r[1].lr_no is None and r[1].text is None and not r[1].is_insider_candidate
 
 
 def test_dates_and_checks(spark):
@@ -47,30 +108,59 @@ def test_dates_and_checks(spark):
     assert got == [D(2023, 9, 5), D(2023, 6, 5), D(2023, 6, 5), D(2023, 6, 5), D(2023, 6, 5), None, None]
     rows = [(D(2023, 6, 5), "on  june 5, 2023 it", "x On June 5,\n2023 it was"), (D(2023, 6, 5), "in June 2023", "in June 2023"), (D(2023, 6, 5), "not there", "body"), (None, "q", "q")]
     checks = [r.c for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, d date, q string, t string").orderBy("i").select(text.verify_date(F.col("d"), F.col("q"), F.col("t")).alias("c")).collect()]
-    assert checks == ["verified", "date_not_in_quote", "quote_not_found", None]
+    assert [c.day for c in checks] == [D(2023, 6, 5), None, None, None]
+    assert [c.reason for c in checks] == ["verified", "quote_lacks_full_date", "quote_not_in_release", "none_given"]
+
+
+@pytest.mark.parametrize(("claim", "said", "want"), [
+    ("options", "She exercised vested stock options.", ("stock", "employee_options")), ("options", "He bought shares.", ("unknown", "options_not_in_release")), ("options", "He bought calls.", ("options", "ok")),
+    ("stock", "The stock price rose; shares fell.", ("unknown", "stock_not_in_release")), ("stock", "He bought ADRs.", ("stock", "ok")), ("both", "He sold stock.", ("stock", "both_not_in_release")),
+    ("both", "He bought options.", ("options", "both_not_in_release")), ("both", "He traded securities.", ("unknown", "both_not_in_release")), ("both", "Stock and puts.", ("both", "ok")), ("other", "", ("other", "ok")),
+])
+def test_check_instruments(spark, claim, said, want):
+    got = spark.createDataFrame([(claim, said)], "c string, t string").select(text.check_instruments(F.col("c"), F.col("t")).alias("x")).first().x
+    assert tuple(got) == want
 
 
 def event(**kw):
-    base = dict(lr_no="1", ord=0, issuer_name="Acme Inc", event_type="unknown", announcement_date=None, last_trade_date=None, trade_check=None, trade_evidence=None, instruments="stock", direction="unknown")
-    return base | kw
+    base = dict(lr_no="1", ord=0, issuer_name="Acme Inc", ticker=None, announcement_date=None, announcement_evidence=None, last_trade_date=None, trade_evidence=None, event_type="unknown", instruments="stock", direction="unknown")
+    return tuple((base | kw).values())
 
 
-FIELDS = "lr_no string, ord int, issuer_name string, event_type string, announcement_date date, last_trade_date date, trade_check string, trade_evidence string, instruments string, direction string"
+FIELDS = "lr_no string, ord int, issuer_name string, ticker string, announcement_date date, announcement_evidence string, last_trade_date date, trade_evidence string, event_type string, instruments string, direction string"
+BODY = "He bought shares and call options on January 5, 2020, January 9, 2020 and May 5, 2021, before March 4, 2020 and June 6, 2022."
 
 
 def test_clean_events(spark):
-    rows = [event(ord=0, last_trade_date=D(2020, 1, 5), trade_check="verified"), event(ord=1, issuer_name="ACME Incorporated", event_type="earnings", last_trade_date=D(2020, 1, 9), trade_check="verified", instruments="options"),
-            event(ord=2, event_type="acquisition_target", last_trade_date=D(2021, 5, 5)), event(ord=3, issuer_name="Buyer Co", event_type="acquirer"), event(lr_no="2", issuer_name="Buyer Co", event_type="acquirer")]
-    got = sorted((r.lr_no, r.issuer_name, r.event_type, r.last_trade_date, r.instruments) for r in releases.clean_events(spark.createDataFrame([tuple(r.values()) for r in rows], FIELDS)).collect())
-    assert got == [("1", "Acme Inc", "acquisition_target", D(2021, 5, 5), "stock"), ("1", "Acme Inc", "earnings", D(2020, 1, 9), "both"), ("2", "Buyer Co", "acquirer", None, "stock")]
+    trade = lambda d, q: {"last_trade_date": d, "trade_evidence": q}
+    rows = [
+        event(**trade(D(2020, 1, 5), "on January 5, 2020")), event(ord=1, issuer_name='Acme, Inc. ("Acme")', event_type="earnings", instruments="options", direction="long", **trade(D(2020, 1, 9), "January 9, 2020")),
+        event(ord=2, event_type="acquisition_target", **trade(D(2021, 5, 5), "May 5, 2021")), event(ord=3, issuer_name="Buyer Co", event_type="acquirer"), event(ord=4, issuer_name="an unnamed company"),
+        event(ord=5, announcement_date=D(2020, 3, 4), announcement_evidence="not a quote", **trade(D(2020, 1, 1), "on January 1, 2020")),
+        event(lr_no="2", issuer_name="Buyer Co", event_type="acquirer", instruments="options", direction="short"), event(lr_no="2", ord=1, issuer_name="Buyer Co", event_type="acquirer", instruments="options", direction="sell"),
+        event(lr_no="3", announcement_date=D(2020, 3, 4), announcement_evidence="before March 4, 2020"), event(lr_no="3", ord=1, announcement_date=D(2022, 6, 6), announcement_evidence="June 6, 2022"),
+    ]
+    texts = spark.createDataFrame([("1", BODY), ("2", "He sold short."), ("3", BODY)], "lr_no string, text string")
+    got = [tuple(r) for r in releases.clean_events(spark.createDataFrame(rows, FIELDS), texts).select("lr_no", "issuer_name", "event_type", "announcement_date", "date_check", "last_trade_date", "trade_check", "instruments", "instruments_check", "direction").orderBy("lr_no", "event_type", "announcement_date").collect()]
+    assert got == [
+        ("1", "Acme Inc", "acquisition_target", None, "none_given", D(2021, 5, 5), "verified", "stock", "ok", "unknown"),
+        ("1", "Acme Inc", "earnings", None, "none_given", D(2020, 1, 9), "verified", "both", "ok", "long"),
+        ("2", "Buyer Co", "acquirer", None, "none_given", None, "none_given", "unknown", "options_not_in_release", "both"),
+        ("3", "Acme Inc", "other", D(2020, 3, 4), "verified", None, "none_given", "stock", "ok", "unknown"),
+        ("3", "Acme Inc", "other", D(2022, 6, 6), "verified", None, "none_given", "stock", "ok", "unknown"),
+    ]
+
+
+def test_combined_claims():
+    assert [releases.combined(v) for v in (["unknown"], ["stock", "unknown"], ["stock", "options"], ["long", "sell"], ["stock", "other"], [])] == ["unknown", "stock", "both", "both", "other", "unknown"]
 
 
 def test_traded_events(spark):
     payload = {"release_kind": "complaint", "is_insider_trading_case": True, "events": [{"issuer_name": "Acme Inc", "announcement_date": "2023-06-05", "announcement_evidence": "June 5, 2023", "instruments": "options"}, {"issuer_name": "a company"}]}
-    p = spark.createDataFrame([("1", "m", True, json.dumps(payload)), ("2", "m", False, "{")], "lr_no string, model string, ok boolean, payload string")
+    p = spark.createDataFrame([("1", "m", True, json.dumps(payload)), ("1", "n", True, json.dumps(payload)), ("2", "m", False, "{")], "lr_no string, model string, ok boolean, payload string")
     t = spark.createDataFrame([("1", "On June 5, 2023 shares rose.")], "lr_no string, text string")
-    got = releases.traded_events(p, t).collect()
-    assert [(r.issuer_name, r.date_check, r.instruments_check) for r in got] == [("Acme Inc", "verified", "options_not_in_text")]
+    got = releases.traded_events(p, t).orderBy("model").collect()
+    assert [(r.lr_no, r.model, r.release_kind, r.issuer_name, r.date_check, r.instruments, r.instruments_check) for r in got] == [("1", m, "complaint", "Acme Inc", "verified", "unknown", "options_not_in_release") for m in "mn"]
 
 
 def test_date_anomalies(spark):
@@ -79,6 +169,15 @@ def test_date_anomalies(spark):
     assert got == {(30, "out_of_sequence"), (12, "no_date")}
 
 
+def test_date_anomalies_across_blocks(spark, monkeypatch):
+    """Blocks of seven places give what one window over all gives."""
+    rows = [(i * 3, D(2020, 1, 1) + dt.timedelta(days=i + (90 if i % 13 == 5 else 0)) if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "lr_no int, release_date date")
+    whole = {tuple(r) for r in releases.date_anomalies(df).collect()}
+    monkeypatch.setattr(releases, "BLOCK", 7)
+    assert {tuple(r) for r in releases.date_anomalies(df).collect()} == whole and len(whole) > 6
+
+
 def test_short_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Date|Symbol|Short Volume|ShortExemptVolume|TotalVolume|Market\n20240102|AAA|500|1|900|Q\n20240102|BBB|x|0|10|Q\n|CCC|1|1|1|Q\n2\n")
     (tmp_path / "b.txt").write_text("Date|Symbol|ShortVolume|TotalVolume|Market\n20240102|aaa|200|400|N\n1\n")

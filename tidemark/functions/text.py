@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that say nothing about which company it is.
+# Words that a company's name is compared without.
 STOP_WORDS = (
-    "the", "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "lp", "plc", "sa", "nv", "ag", "se",
-    "holdings", "holding", "group", "trust", "bancorp", "international",
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "holdings",
+    "holding", "group", "lp", "llc", "sa", "nv", "ag", "the", "de", "class", "a", "b",
 )
-# What follows a company's name in a security's name.
-SECURITY_TAIL = r"(?i)\s+(class [a-z]|common stock|common shares?|ordinary shares?|american depositary shares?|ads|adr|units?|warrants?|rights?|depositary shares?).*$"
-STATE_TAG = r"(?i)\s*/[a-z]{2,3}/?\s*$"
-ALIAS = r"(?i)\s*\((?:formerly|now|a/k/a|f/k/a|d/b/a|or|the)\b[^)]*\)|\s*\(\"[^)]*\"\)"
+# State tags, other trading names, a security's kind, defined terms.
+STATE_TAG = r"/[a-z]{2,3}/?"
+TRADING_AS = r"\bd/?b/?a\b.*$"
+SECURITY_TAIL = r"(?i)\b(?:class [a-z] )?(?:common|ordinary|capital) (?:stock|shares)\b.*$|\badrs?\b.*$"
+ALIAS = r"""(?i)\s*\(\s*(?:the\s+)?["\u201c\u2018'][^()]{1,60}["\u201d\u2019']\s*\)"""
+SHARE_CLASS = r"(?i)\b(series|class)\s+[a-z]\b.*$"
 
 
 def canonical(c: Column) -> Column:
@@ -22,30 +26,48 @@ def canonical(c: Column) -> Column:
 
 
 def company_name(c: Column) -> Column:
-    """Comparable company name: tags and aliases off, ``&`` spelled out, other
-    signs to blanks, stop words dropped (unless nothing else is left)."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), STATE_TAG, "")
-    s = F.regexp_replace(s, r"(?i)\bd/b/a\b.*$", "")
-    s = F.regexp_replace(F.lower(s), "&", " and ")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"['’.]", ""), r"[^a-z0-9]+", " "))
-    words = F.filter(F.split(s, " "), lambda w: ~w.isin(*STOP_WORDS))
-    kept = F.array_join(words, " ")
-    return F.when(kept == "", s).otherwise(kept)
+    """Comparable company name: state tags and other trading names off, ``&``
+    spelled out, other signs to blanks, stop words dropped; empty if nothing
+    is left. ``name_of`` is the same for one Python string."""
+    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), STATE_TAG, " ")
+    s = F.replace(F.regexp_replace(s, TRADING_AS, " "), F.lit("&"), F.lit(" and "))
+    words = F.split(F.regexp_replace(s, "[^a-z0-9]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS)), " ")
+
+
+def name_of(name: str | None) -> str:
+    s = re.sub(TRADING_AS, " ", re.sub(STATE_TAG, " ", (name or "").lower())).replace("&", " and ")
+    return " ".join(w for w in re.findall("[a-z0-9]+", s) if w not in STOP_WORDS)
 
 
 def name_key(c: Column) -> Column:
     """Key of a security's or company's name, without the security's kind."""
-    return F.regexp_replace(company_name(F.regexp_replace(c, SECURITY_TAIL, "")), " ", "")
+    return company_name(F.regexp_replace(F.coalesce(c, F.lit("")), SECURITY_TAIL, ""))
+
+
+def share_class_key(c: Column) -> Column:
+    """``name_key`` without a class or series and what follows it."""
+    return name_key(F.regexp_replace(F.coalesce(c, F.lit("")), SHARE_CLASS, ""))
 
 
 def clean_issuer(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, ALIAS, ""))
+    """The name without a defined term such as ``("Acme")``; single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, ALIAS, ""), r"\s+", " "))
+
+
+# What marks a description instead of a name, and a name.
+DESCRIPTION = r"(?i:\b(?:unknown|unnamed|undisclosed|employer)\b)|\b(?i:company) [A-Z]\b|'s\s+[a-z]|\("
+NAMED = r"\b[A-Z][A-Za-z0-9&.\-]*"
+UNNAMED = r"(?i)^(?:a|an|the|at least|several|various|certain|unnamed|unknown|null|none)\b"
+NO_NAME = ("null", "none", "n/a")
 
 
 def is_named(c: Column) -> Column:
     """A named entity: not a description such as "Company A" or "a biotech firm"."""
-    described = r"(?i)^(an?|the|one|several|various|certain|unnamed|unidentified)\s|^(company|issuer|corporation)\s+[a-z0-9]$|^(public|private)\s+compan"
-    return F.coalesce((F.trim(c) != "") & ~F.trim(c).rlike(described) & F.trim(c).rlike("[A-Z]"), F.lit(False))
+    blank = (c == "") | F.lower(F.trim(c)).isin(*NO_NAME)
+    first = F.substring(c, 1, 1)
+    lower_article = c.rlike(UNNAMED) & (first != F.upper(first))
+    return F.coalesce(~blank & ~c.rlike(DESCRIPTION) & c.rlike(NAMED) & ~lower_article, F.lit(False))
 
 
 def any_date(c: Column) -> Column:
@@ -58,48 +80,71 @@ def any_date(c: Column) -> Column:
 
 
 def date_patterns(day: Column) -> Column:
-    """A regular expression for the ways in which a text writes a date."""
-    month, short, d, y = (F.date_format(day, f) for f in ("MMMM", "MMM", "d", "yyyy"))
-    return F.concat(F.lit(r"(?i)\b(?:"), month, F.lit("|"), short, F.lit(r"\.?)\s+"), d, F.lit(r"(?:st|nd|rd|th)?,?\s+"), y, F.lit(r"\b|\b"), d, F.lit(r"\s+"), month, F.lit(r",?\s+"), y, F.lit(r"\b|\b"), F.date_format(day, "yyyy-MM-dd"), F.lit(r"\b|\b0?"), F.date_format(day, "M"), F.lit("/0?"), d, F.lit("/"), y, F.lit(r"\b"))
+    """A regular expression for the ways in which a quote states a full date:
+    month in words (whole or three letters), day, year; or month/day/year."""
+    # The four forms that count.
+    written = r"(?:%s|%s)\.?\s+%s,?\s+%s|\b%s/%s/%s\b|\b%s/%s/%s\b"
+    part = lambda form: F.date_format(day, form)
+    parts = [part(f) for f in ("MMMM", "MMM", "d", "yyyy", "M", "d", "yyyy", "MM", "dd", "yyyy")]
+    return F.format_string("(?i)" + written, *parts)
 
 
 def verify_date(day: Column, quote: Column, text: Column) -> Column:
-    """``verified`` if the quote occurs in the text and holds the full date,
-    ``date_not_in_quote`` or ``quote_not_found`` otherwise, null without a date."""
-    found = F.coalesce((quote != "") & F.contains(canonical(text), canonical(quote)), F.lit(False))
+    """Struct of ``day`` (null unless verified) and ``reason``: ``verified`` if the
+    quote occurs in the text and states the full date, else ``none_given``,
+    ``quote_not_in_release`` or ``quote_lacks_full_date``."""
+    found = F.coalesce((quote != "") & F.contains(canonical(F.coalesce(text, F.lit(""))), canonical(quote)), F.lit(False))
     holds = F.coalesce(F.rlike(quote, date_patterns(day)), F.lit(False))
-    return F.when(day.isNull(), F.lit(None).cast("string")).when(~found, "quote_not_found").when(~holds, "date_not_in_quote").otherwise("verified")
+    reason = F.when(day.isNull(), "none_given").when(~found, "quote_not_in_release").when(~holds, "quote_lacks_full_date").otherwise("verified")
+    return F.struct(F.when(found & holds, day).alias("day"), reason.alias("reason"))
 
 
-EMPLOYEE_OPTION = r"(?i)\b(employee|incentive|vested|unvested|compensatory)\s+stock\s+options?\b|\bstock\s+options?\s+(grants?|awards?|plan)\b"
-OPTION = r"(?i)\b(call|put)\s+(options?|contracts?)\b|\b(call|put)s\b|\boptions?\s+(contracts?|trad|purchas)|\bout-of-the-money\b|\bstrike\s+price\b|\boptions\b"
-STOCK = r"(?i)\bshares?\b(?!\s+price)|\b(common|company)\s+stock\b|\bstock\b(?!\s+(options?|price|exchange|market))|\bsecurities\b"
+# Mentions of stock, of employees' options and of options.
+STOCK = (
+    r"(?i)\bstocks?\b(?!\s*(?:-\s*)?(?:broker|price|market|exchange|options?|trading plan|purchase plan))"
+    r"|\bshares?\b(?!\s+(?:price|rose|fell|increased|decreased|dropped|jumped|climbed|declined))"
+    r"|\bADRs?\b|\bADSs?\b|American Deposit[ao]ry"
+)
+EMPLOYEE_OPTION = r"(?i)\b(?:vested|employee|exercis\w*)\b[^.]{0,60}?\b(?:stock )?options?\b"
+OPTION = r"(?i)\boptions?\b|\b(?:call|put)s\b"
 
 
 def check_instruments(claimed: Column, text: Column) -> Column:
-    """``ok``, ``options_not_in_text``, ``stock_not_in_text`` or ``unknown``.
+    """Struct of ``instruments``, held to what the text says, and ``reason``.
 
-    Employee options are removed before the test for traded options.
+    Options that employees exercised count as stock, so they are taken out
+    before options are looked for. A claim that the text does not bear out
+    becomes what it does bear out, or ``unknown``.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), EMPLOYEE_OPTION, " ")
-    options, stock = plain.rlike(OPTION), plain.rlike(STOCK)
-    wants_options, wants_stock = claimed.isin("options", "both"), claimed.isin("stock", "both")
-    return F.when(claimed.isNull() | (claimed == "unknown"), "unknown").when(wants_options & ~options, "options_not_in_text").when(wants_stock & ~stock, "stock_not_in_text").otherwise("ok")
+    body = F.coalesce(text, F.lit(""))
+    stock, employee = body.rlike(STOCK), body.rlike(EMPLOYEE_OPTION)
+    options = F.regexp_replace(body, EMPLOYEE_OPTION, " ").rlike(OPTION)
+    no_options, no_stock = (claimed == "options") & ~options, (claimed == "stock") & ~stock
+    not_both = (claimed == "both") & ~(stock & options)
+    value = (F.when(no_options & employee, "stock").when(no_options | no_stock, "unknown")
+             .when(not_both, F.when(stock, "stock").when(options, "options").otherwise("unknown")).otherwise(claimed))
+    reason = (F.when(no_options & employee, "employee_options").when(no_options, "options_not_in_release")
+              .when(no_stock, "stock_not_in_release").when(not_both, "both_not_in_release").otherwise("ok"))
+    return F.struct(value.alias("instruments"), reason.alias("reason"))
 
 
 # Phrases that mark a release as a candidate or mention a body.
 MENTIONS = {
-    "mentions_finra": r"(?i)\bfinra\b|financial industry regulatory authority",
-    "mentions_detection_center": r"(?i)analysis and detection center",
-    "mentions_market_abuse_unit": r"(?i)market abuse unit",
-    "mentions_options": OPTION,
+    "mentions_finra": r"Financial Industry Regulatory Authority|\bFINRA\b",
+    "mentions_detection_center": r"(?i)Analysis and Detection Center",
+    "mentions_market_abuse_unit": r"(?i)Market Abuse Unit",
+    "mentions_options": r"(?i)\b(call|put)\s+options?\b|\boptions?\s+contracts?\b",
 }
-INSIDER = r"(?i)\binsider trading\b|material,?\s+non-?public information|\btipp(ed|er|ee|ing)\b"
+INSIDER = (
+    r"(?i)insider trading|material,?\s+non-?public|non-?public information"
+    r"|in advance of the .{0,80}announcement|ahead of (?:the|an) .{0,40}announce"
+    r"|\btipp(?:ed|ee|ees|er|ing)\b"
+)
 
 
 def release_flags(text: Column) -> dict[str, Column]:
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), EMPLOYEE_OPTION, " ")
-    return {"is_insider_candidate": plain.rlike(INSIDER)} | {k: plain.rlike(v) for k, v in MENTIONS.items()}
+    body = F.coalesce(text, F.lit(""))
+    return {"is_insider_candidate": body.rlike(INSIDER)} | {k: body.rlike(v) for k, v in MENTIONS.items()}
 
 
 def years_in(text: Column) -> Column:
@@ -119,12 +164,19 @@ def redirect_target(url: Column) -> Column:
     return F.when(plain != "", F.url_decode(plain)).when(coded != "", F.decode(F.unbase64(padded), "UTF-8")).otherwise(url)
 
 
+# First and last two-digit group of each division.
+SIC_DIVISIONS = (
+    (1, 9, "A"), (10, 14, "B"), (15, 17, "C"), (20, 39, "D"), (40, 49, "E"), (50, 51, "F"),
+    (52, 59, "G"), (60, 67, "H"), (70, 89, "I"), (91, 99, "J"),
+)
+
+
 def sic_division(sic: Column) -> Column:
-    """Division letter of a SIC code; a four-character text goes by its first two digits."""
-    two = F.when(F.length(sic.cast("string")) == 4, F.substring(sic.cast("string"), 1, 2).try_cast("int")).otherwise(F.expr("0") + (sic.try_cast("int") / 100).cast("int"))
-    # Last two-digit group of each division.
-    bounds = ((9, "A"), (14, "B"), (17, "C"), (39, "D"), (49, "E"), (51, "F"), (59, "G"), (67, "H"), (89, "I"), (99, "J"))
-    out = F.when(two.isNull() | (two < 1), F.lit(None).cast("string"))
-    for last, letter in bounds:
-        out = out.when(two <= last, letter)
+    """Division letter of a SIC code, ``?`` where there is none; a code of four
+    characters goes by its first two, a shorter number by its hundreds."""
+    code = sic.cast("string")
+    two = F.when(F.length(code) == 4, F.substring(code, 1, 2).try_cast("int")).otherwise(F.floor(code.try_cast("int") / 100))
+    out = F.lit("?")
+    for first, last, letter in reversed(SIC_DIVISIONS):
+        out = F.when(two.between(first, last), letter).otherwise(out)
     return out

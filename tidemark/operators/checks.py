@@ -37,18 +37,29 @@ def filled_worklist(worklist: DataFrame, daily: DataFrame, moves: DataFrame | No
     return j.withColumn("same_day", F.col("minute_day") == F.col("daily_day0")).withColumn("note", F.coalesce(note, F.lit("")))
 
 
+# Forms under which a company also files its press release.
+RELATED_FORMS = ("8-K", "425", "DEFA14A", "SC14D9C", "SC 14D9-C", "SC TO-C", "8-K12B", "6-K")
+
+
 def release_documents(filings: DataFrame, documents: DataFrame) -> DataFrame:
-    """The press release of each filing: its own exhibit, else one of the same
-    company filed the same day, else its primary document.
+    """The press release of each filing: its own exhibit, else one that the
+    company filed that day or the next, else its primary document.
 
-    ``filings``: accession, cik, filing_date. ``documents``: accession, kind
-    (``exhibit`` or ``primary``), seq, text. Adds text and source.
+    ``filings``: accession, cik, form, filing_date. ``documents``: accession,
+    kind (``exhibit`` or ``primary``), seq, text. Another filing of a related
+    form offers its exhibit, or its primary document where it has none and is
+    no 8-K; the first by accession counts. Adds text and source.
     """
     ranked = documents.groupBy("accession", "kind").agg(F.min_by("text", "seq").alias("text"))
     own = ranked.where("kind = 'exhibit'").select("accession", F.col("text").alias("_own"))
     primary = ranked.where("kind = 'primary'").select("accession", F.col("text").alias("_primary"))
-    shared = filings.join(own, "accession").groupBy("cik", "filing_date").agg(F.min_by("_own", "accession").alias("_related"))
-    j = filings.join(own, "accession", "left").join(shared, ["cik", "filing_date"], "left").join(primary, "accession", "left")
+    j = filings.join(own, "accession", "left").join(primary, "accession", "left")
+    offered = F.coalesce("_own", F.when(F.col("form") != "8-K", F.col("_primary")))
+    shared = j.where(F.col("form").isin(*RELATED_FORMS)).select(F.col("accession").alias("_acc"), "cik", "filing_date", offered.alias("_text")).where("_text IS NOT NULL")
+    # A filing meets those of its own day and of the day after, by equality.
+    near = j.where("_own IS NULL").select("accession", "cik", F.explode(F.array("filing_date", F.date_add("filing_date", 1))).alias("filing_date"))
+    related = near.join(shared, ["cik", "filing_date"]).where("accession <> _acc").groupBy("accession").agg(F.min_by("_text", "_acc").alias("_related"))
+    j = j.join(related, "accession", "left")
     source = F.when(F.col("_own").isNotNull(), "exhibit").when(F.col("_related").isNotNull(), "related").when(F.col("_primary").isNotNull(), "primary")
     return j.withColumn("text", F.coalesce("_own", "_related", "_primary")).withColumn("source", source).drop("_own", "_related", "_primary")
 

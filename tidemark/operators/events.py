@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from . import calendar
 
-# Forms by which a target of a takeover shows itself.
-TARGET_FORMS = ("SC 14D9", "SC14D9C", "SC 14D9C", "DEFM14A", "PREM14A", "SC 13E3", "SC 14D9/A", "DEFM14C", "PREM14C", "SC TO-T", "SC TO-T/A", "PREC14A")
+# Forms that only the target of a deal files, and those that make a filer a company of the study.
+TARGET_FORMS = ("PREM14A", "DEFM14A", "SC 14D9", "SC14D9C", "SC 13E3")
+PERIODIC_FORMS = ("10-K", "10-Q")
 GAP_DAYS = 120
 # Acceptance hours of the feed, and the last time that still counts for the day (17:30).
 OPEN_SECONDS, SHUT_SECONDS, SAME_DAY_SECONDS = 6 * 3600, 22 * 3600, 17 * 3600 + 1800
@@ -58,41 +59,46 @@ def resolve_times(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def with_exact_times(events: DataFrame, exact: DataFrame | None, sessions: DataFrame) -> DataFrame:
     """Replace resolved times by exact ones (accession, accepted_et) where known;
-    ``day0_basis`` tells which: ``index_header`` or ``resolved``."""
+    ``day0_basis`` tells which: ``index_header`` or ``earliest_candidate``."""
     if exact is None:
-        return events.withColumn("day0_basis", F.lit("resolved"))
+        return events.withColumn("day0_basis", F.lit("earliest_candidate"))
     known = calendar.day0(exact.select("accession", F.col("accepted_et").alias("_et")), sessions, "_et", "_d0")
     j = events.join(known, "accession", "left")
     hit = F.col("_et").isNotNull()
     return j.withColumns({
         "accepted_et": F.coalesce("_et", "accepted_et"), "day0": F.when(hit, F.col("_d0")).otherwise(F.col("day0")),
-        "day0_candidates": F.when(hit, 1).otherwise(F.col("day0_candidates")), "day0_basis": F.when(hit, "index_header").otherwise("resolved"),
+        "day0_candidates": F.when(hit, 1).otherwise(F.col("day0_candidates")), "day0_basis": F.when(hit, "index_header").otherwise("earliest_candidate"),
     }).drop("_et", "_d0")
 
 
-def build_events(companies: DataFrame, filings: DataFrame, sessions: DataFrame, first_year: int = 2015, last_year: int = 2100, exact: DataFrame | None = None) -> DataFrame:
-    """Typed announcements from filings of operating companies with tickers.
+def build_events(companies: DataFrame, filings: DataFrame, sessions: DataFrame, first: str = "2016-01-01", last: str = "2025-12-31", exact: DataFrame | None = None) -> DataFrame:
+    """Typed announcements of operating companies that file periodic reports.
 
-    ``companies``: cik, entity_type, tickers. ``filings``: cik, accession,
-    filing_date, accepted_json, form, items. Types are not exclusive:
-    earnings (item 2.02), acquisition_target (the latest item-1.01 filing at
-    most 120 days before a deal's first target form) and
-    other_material_candidate (7.01 or 8.01 without 1.01 and 2.02).
+    ``companies``: cik, entity_type. ``filings``: cik, accession,
+    filing_date, accepted_json, form, items. A company counts if it filed a
+    10-K or 10-Q from ``first`` to ``last``; a missing entity type counts as
+    operating. Types are not exclusive: earnings (item 2.02),
+    acquisition_target (the latest item-1.01 filing at most 120 days before a
+    deal's first target form, which may come up to 120 days after ``last``)
+    and other_material_candidate (7.01 or 8.01 without 1.01 and 2.02).
     """
-    operating = companies.where((F.coalesce("entity_type", F.lit("operating")) == "operating") & (F.coalesce("tickers", F.lit("")) != "")).select("cik").distinct()
-    own = filings.join(operating, "cik", "left_semi").where(F.year("filing_date").between(first_year, last_year))
-    eight = own.where(F.col("form") == "8-K")
+    start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
+    filed = F.col("filing_date")
+    operating = companies.where(F.coalesce("entity_type", F.lit("operating")) == "operating").select("cik")
+    universe = filings.where(F.col("form").isin(*PERIODIC_FORMS) & filed.between(start, end)).join(operating, "cik", "left_semi").select("cik").distinct()
+    eight = filings.where((F.col("form") == "8-K") & filed.between(start, end)).join(universe, "cik", "left_semi")
     e202, e101, e701, e801 = (has_item("items", x) for x in ("2.02", "1.01", "7.01", "8.01"))
-    earnings = eight.where(e202).withColumn("event_type", F.lit("earnings")).withColumn("evidence", F.lit("item 2.02"))
-    other = eight.where((e701 | e801) & ~e101 & ~e202).withColumn("event_type", F.lit("other_material_candidate")).withColumn("evidence", F.lit("item 7.01/8.01"))
-    targets = filings.join(operating, "cik", "left_semi").where(F.col("form").isin(*TARGET_FORMS)).select("cik", F.col("filing_date").alias("_t"), F.col("form").alias("_form")).groupBy("cik", "_t").agg(F.min("_form").alias("_form"))
+    earnings = eight.where(e202).withColumns({"event_type": F.lit("earnings"), "evidence": F.lit("")})
+    other = eight.where((e701 | e801) & ~e101 & ~e202).withColumns({"event_type": F.lit("other_material_candidate"), "evidence": F.lit("")})
+    shown = filings.where(F.col("form").isin(*TARGET_FORMS) & filed.between(start, F.date_add(end, GAP_DAYS)))
+    targets = shown.groupBy("cik", F.col("filing_date").alias("_t")).agg(F.min("form").alias("_form"))
     deals = deal_starts(targets, "cik", "_t")
     near = eight.where(e101).join(deals, "cik").where(F.datediff("_t", "filing_date").between(0, GAP_DAYS))
     latest = Window.partitionBy("cik", "_t").orderBy(F.desc("filing_date"), F.col("accepted_json").desc_nulls_first(), F.desc("accession"))
     acquired = near.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1")
-    acquired = acquired.withColumn("event_type", F.lit("acquisition_target")).withColumn("evidence", F.concat_ws(" ", "_form", F.col("_t").cast("string"))).drop("_rn", "_t", "_form")
+    acquired = acquired.withColumns({"event_type": F.lit("acquisition_target"), "evidence": F.concat_ws(" ", "_form", F.col("_t").cast("string"))}).drop("_rn", "_t", "_form")
     typed = acquired.unionByName(earnings).unionByName(other)
-    once = Window.partitionBy("accession", "event_type").orderBy("cik")
+    once = Window.partitionBy("accession", "event_type").orderBy("cik", "evidence")
     typed = typed.withColumn("_rn", F.row_number().over(once)).where("_rn = 1").drop("_rn")
     typed = typed.withColumn("event_id", F.concat(F.substring("event_type", 1, 3), F.lit("-"), "accession"))
     slim = typed.select("event_id", "cik", "accession", "filing_date", "accepted_json", "items", "event_type", "evidence")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantile_bin, robust_z, row_mean
+from ..functions.stats import cuts_of, global_rank, quantile_bin, robust_z, row_mean
 
 LEAST_PEERS, BINS = 20, 5
 
@@ -13,17 +13,20 @@ LEAST_PEERS, BINS = 20, 5
 def peer_groups(df: DataFrame, size: str, division: str, event_id: str = "event_id") -> DataFrame:
     """Adds size_q and peer_group: size quintile and division, falling back.
 
-    A missing size counts as the median size. A group under 20 events goes
-    to ``q/all``; that pool holds only the events that fell back, not the
+    A missing size counts as the median size, a missing division as ``?``. A
+    group under 20 events goes to ``q/all``; that pool holds only the events that fell back, not the
     whole quintile. Where the quintile itself has under 20, it is ``all``.
     """
-    everyone = Window.partitionBy(F.lit(1))
-    df = df.withColumn("_size", F.coalesce(size, F.median(size).over(everyone)))
-    df = df.withColumn("size_q", quantile_bin(everyone, [F.col("_size"), F.col(event_id)], BINS))
-    own = F.concat_ws("/", F.concat(F.lit("q"), F.col("size_q").cast("string")), F.coalesce(F.col(division), F.lit("none")))
-    df = df.withColumn("_g", own).withColumn("_n", F.count("*").over(Window.partitionBy("_g"))).withColumn("_nq", F.count("*").over(Window.partitionBy("size_q")))
-    group = F.when(F.col("_n") >= LEAST_PEERS, F.col("_g")).when(F.col("_nq") >= LEAST_PEERS, F.concat(F.lit("q"), F.col("size_q").cast("string"), F.lit("/all"))).otherwise("all")
-    return df.withColumn("peer_group", group).drop("_size", "_g", "_n", "_nq")
+    middle, cuts = df.agg(F.median(size), cuts_of(size)).first()
+    df = df.withColumn("_size", F.coalesce(F.col(size), F.lit(middle)).cast("double"))
+    df = global_rank(df, "_size", event_id, "_rank", "_all", cuts or []).withColumn("size_q", quantile_bin(F.col("_rank"), F.col("_all"), BINS))
+    df = df.withColumn("_g", F.concat_ws("/", F.col("size_q").cast("string"), F.coalesce(F.col(division), F.lit("?"))))
+    # A bin's size follows from the number of rows, as bins are cut by rank.
+    up_to = lambda q: F.floor(q * (F.col("_all") - 1) / BINS) + 1
+    in_bin = up_to(F.col("size_q")) - F.when(F.col("size_q") > 1, up_to(F.col("size_q") - 1)).otherwise(0)
+    df = df.withColumn("_n", F.count("*").over(Window.partitionBy("_g")))
+    group = F.when(F.col("_n") >= LEAST_PEERS, F.col("_g")).when(in_bin >= LEAST_PEERS, F.concat(F.col("size_q").cast("string"), F.lit("/all"))).otherwise("all")
+    return df.withColumn("peer_group", group).drop("_size", "_rank", "_all", "_g", "_n")
 
 
 def peer_z(df: DataFrame, measures: list[str], size: str, division: str, event_id: str = "event_id") -> DataFrame:
@@ -34,14 +37,32 @@ def peer_z(df: DataFrame, measures: list[str], size: str, division: str, event_i
     return df.withColumn("composite", row_mean([f"z_{m}" for m in measures]))
 
 
+def lifts(df: DataFrame, score: str, label: Column, shares: tuple[float, ...], event_id: str = "event_id") -> DataFrame:
+    """One row per share: share, lift, hits, k of the top share; a null score
+    ranks last, a base rate of 0 gives a null lift.
+
+    A report: the ranks are worked out at once, over rows kept meanwhile.
+    """
+    # Descending score, null last: ascending order of its negative, a null as plus infinity.
+    key = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    slim = df.select(key.alias("s"), F.col(event_id).alias("e"), F.coalesce(label, F.lit(False)).cast("int").alias("y")).persist()
+    try:
+        rows = global_rank(slim, "s", "e", "rn")
+        k = {s: F.greatest(F.lit(1), F.ceil(F.lit(s) * F.col("n"))) for s in shares}
+        each = [F.struct(F.lit(s).alias("share"), F.sum(F.when(F.col("rn") <= n, F.col("y"))).alias("hits"), F.first(n).alias("k")) for s, n in k.items()]
+        found = rows.agg(F.array(*each).alias("each"), F.avg("y").alias("base")).first()
+    finally:
+        slim.unpersist()
+    made = []
+    for r in found.each:
+        hits, k = r.hits or 0, r.k or 0
+        made.append((float(r.share), hits / k / found.base if k and found.base else None, hits, k))
+    return df.sparkSession.createDataFrame(made, "share double, lift double, hits long, k long")
+
+
 def lift(df: DataFrame, score: str, label: Column, share: float, event_id: str = "event_id") -> DataFrame:
-    """One row: lift, hits, k of the top share; a null score ranks last, a
-    base rate of 0 gives a null lift."""
-    w = Window.partitionBy(F.lit(1))
-    rows = df.select(F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), event_id)).alias("rn"), F.count("*").over(w).alias("n"), F.coalesce(label, F.lit(False)).cast("int").alias("y"))
-    k = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))
-    g = rows.agg(F.sum(F.when(F.col("rn") <= k, F.col("y"))).alias("hits"), F.first(k).alias("k"), F.avg("y").alias("base"))
-    return g.select((F.col("hits") / F.col("k") / F.nullif(F.col("base"), F.lit(0.0))).alias("lift"), F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.col("k").cast("long").alias("k"))
+    """One row: lift, hits, k of the top share."""
+    return lifts(df, score, label, (share,), event_id).drop("share")
 
 
 def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
@@ -64,8 +85,9 @@ def evaluate(df: DataFrame, scores: list[str], label: Column, event_id: str = "e
     parts = []
     for s in scores:
         name = F.lit(s).alias("score")
-        parts.append(lift(df, s, label, 0.05, event_id).select(name, F.col("lift").alias("top5_lift"), "hits", "k"))
-        parts.append(lift(df, s, label, 0.01, event_id).select(name, F.col("lift").alias("top1_lift")))
+        both = lifts(df, s, label, (0.05, 0.01), event_id)
+        parts.append(both.where("share > 0.02").select(name, F.col("lift").alias("top5_lift"), "hits", "k"))
+        parts.append(both.where("share < 0.02").select(name, F.col("lift").alias("top1_lift")))
         parts.append(auc(df, s, label).select(name, "auc"))
     # One-row results side by side: united, then the one value of each column.
     every = parts[0]

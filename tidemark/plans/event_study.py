@@ -25,8 +25,8 @@ def feature_sql(grain: str) -> str:
     return f"""
 WITH {P.sql_calendar(grain)},
 k AS (SELECT DISTINCT symbol, i0 FROM ev WHERE i0 IS NOT NULL),
-r AS (SELECT k.symbol, k.i0, v.*, f.* EXCLUDE (symbol), f.idx - k.i0 AS rel, short_volume / nullif(total_volume, 0) AS share
-      FROM k JOIN f ON f.symbol = k.symbol AND f.idx BETWEEN k.i0 - 300 AND k.i0 - 1, ({pairs}) v),
+r AS (SELECT k.symbol, k.i0, k.win, k.w0, k.w1, k.b0, k.b1, f.* EXCLUDE (symbol), f.idx - k.i0 AS rel, short_volume / nullif(total_volume, 0) AS share
+      FROM (SELECT k.*, v.* FROM k, ({pairs}) v WHERE symbol IN (SELECT symbol FROM f)) k LEFT JOIN f ON f.symbol = k.symbol AND f.idx BETWEEN k.i0 - 300 AND k.i0 - 1),
 a AS (
   SELECT symbol, i0, win, w0, w1, b0, b1, count(volume) {w}) AS n_window, count(volume) {b}) AS n_baseline,
          max(close_raw) FILTER (WHERE rel = -30) AS price_d30, median(close_raw * volume) {b}) AS dollar_volume,
@@ -38,7 +38,7 @@ a AS (
          sum(short_volume) {b} AND total_volume > 0) AS shb, sum(total_volume) {b} AND total_volume > 0) AS tb,
          count(share) {w}) AS dw, count(share) {b}) AS db, stddev_samp(share) {b}) AS sd,
          coalesce(sum(trades) {w}), 0) AS qw, coalesce(sum(trades) {b}), 0) AS qb, coalesce(sum(small_trades) {w}), 0) AS zw, coalesce(sum(small_trades) {b}), 0) AS zb
-  FROM r WHERE rel BETWEEN w0 AND w1 OR rel BETWEEN b0 AND b1 OR rel = -30 GROUP BY ALL),
+  FROM r GROUP BY ALL),
 g AS (SELECT *, n_window >= 10 AND n_baseline >= 60 AND vw > 0 AND vb > 0 AS vok, dw >= 10 AND db >= 60 AS fok FROM a),
 h AS (SELECT *, vok AND rb >= 60 AND rw >= 10 AS rok, sqrt(greatest(0, syy - sxy * sxy / sxx) / nullif(rb - 1, 0)) AS resid,
              sr - alpha * rw - beta * sm AS car0, shw / tw - shb / tb AS abn,
@@ -125,9 +125,11 @@ def calendar_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d18_window_facts", f"""WITH {P.sql_calendar()} SELECT k.symbol, k.i0, count(*) AS n, sum(f.volume) AS volume
 FROM (SELECT DISTINCT symbol, i0 FROM ev WHERE i0 IS NOT NULL) k JOIN f ON f.symbol = k.symbol AND f.idx BETWEEN k.i0 - 20 AND k.i0 - 1 GROUP BY ALL""")
 def window_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = P.facts(spark, sf_dir).withColumn("blk", F.expr(f"idx div {features.BLOCK}"))
-    rows = features._spread(P.announcements(spark, sf_dir), 20).join(keyed, ["symbol", "blk"]).where("idx BETWEEN i0 - 20 AND i0 - 1")
-    return rows.groupBy("symbol", "i0").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    keys = P.announcements(spark, sf_dir).select("symbol", F.col("i0").alias("idx"))
+    rows = features.keyed_facts(keys, P.facts(spark, sf_dir))
+    window = features.before(-20, -1)
+    framed = rows.select("symbol", F.col("idx").alias("i0"), "_event", F.count("_bar").over(window).alias("n"), F.sum("volume").over(window).alias("volume"))
+    return framed.where("_event AND n > 0").drop("_event")
 
 
 @register("d15_market_join", f"WITH {P.sql_calendar()} SELECT b0.symbol, b0.date, round(b0.close / m0.close, 6) AS ratio FROM b0 JOIN m0 USING (date)")

@@ -22,8 +22,8 @@ x AS (SELECT o_orderkey AS event_id, o_totalprice AS size, substr(o_orderpriorit
       FROM orders LEFT JOIN labels l ON l.doc_id = o_orderkey % 1000),
 p0 AS (SELECT *, row_number() OVER (ORDER BY size, event_id) AS rn, count(*) OVER () AS n FROM x),
 p1 AS (SELECT *, CAST(greatest(1, ceil((rn - 1) * 5.0 / (n - 1))) AS INT) AS size_q FROM p0),
-p2 AS (SELECT *, 'q' || size_q || '/' || division AS g, count(*) OVER (PARTITION BY size_q, division) AS ng, count(*) OVER (PARTITION BY size_q) AS nq FROM p1),
-p3 AS (SELECT *, CASE WHEN ng >= 20 THEN g WHEN nq >= 20 THEN 'q' || size_q || '/all' ELSE 'all' END AS peer_group FROM p2),
+p2 AS (SELECT *, size_q || '/' || division AS g, count(*) OVER (PARTITION BY size_q, division) AS ng, count(*) OVER (PARTITION BY size_q) AS nq FROM p1),
+p3 AS (SELECT *, CASE WHEN ng >= 20 THEN g WHEN nq >= 20 THEN size_q || '/all' ELSE 'all' END AS peer_group FROM p2),
 p4 AS (SELECT *, median(m1) OVER (PARTITION BY peer_group) AS med1, median(m2) OVER (PARTITION BY peer_group) AS med2 FROM p3),
 p5 AS (SELECT *, median(abs(m1 - med1)) OVER (PARTITION BY peer_group) AS mad1, median(abs(m2 - med2)) OVER (PARTITION BY peer_group) AS mad2 FROM p4),
 p6 AS (SELECT *, CASE WHEN m1 IS NOT NULL THEN greatest(-5, least(5, (m1 - med1) / nullif(1.4826 * mad1, 0))) END AS z_m1, greatest(-5, least(5, (m2 - med2) / nullif(1.4826 * mad2, 0))) AS z_m2 FROM p5),
@@ -55,8 +55,7 @@ LIFT = """(SELECT {share} AS share, round(sum(CASE WHEN rn <= k THEN y ELSE 0 EN
 
 @register("j25_lift", f"WITH {SCORED} SELECT * FROM {LIFT.format(share='CAST(0.05 AS DOUBLE)')} UNION ALL SELECT * FROM {LIFT.format(share='CAST(0.01 AS DOUBLE)')}")
 def lift(spark, sf_dir):
-    rows = [scoring.lift(scored(spark, sf_dir), "composite", F.col("charged"), s).select(F.lit(s).alias("share"), F.round("lift", 6).alias("lift"), "hits", "k") for s in (0.05, 0.01)]
-    return rows[0].unionByName(rows[1])
+    return scoring.lifts(scored(spark, sf_dir), "composite", F.col("charged"), (0.05, 0.01)).withColumn("lift", F.round("lift", 6))
 
 
 AUC = """(SELECT '{s}' AS score, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc FROM (
@@ -91,19 +90,19 @@ def composite(spark, sf_dir):
 
 # ---------------------------------------------------------------- events and times
 
-FORMS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'DEFM14A' ELSE '8-K' END"
+FORMS = "CASE WHEN o_orderpriority = '1-URGENT' THEN CASE o_orderkey % 3 WHEN 0 THEN 'DEFM14A' WHEN 1 THEN 'SC 14D9' ELSE 'SC TO-T' END WHEN o_orderpriority = '5-LOW' AND o_orderkey % 2 = 0 THEN '10-K' ELSE '8-K' END"
 ITEM_TEXT = "CASE o_orderpriority WHEN '2-HIGH' THEN '2.02, 9.01' WHEN '3-MEDIUM' THEN '1.01' WHEN '4-NOT SPECIFIED' THEN '7.01,12.02' ELSE '8.01' END"
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as filings: form and items from the priority, stamp from the price."""
-    p = F.col("o_orderpriority")
+    """Orders as filings: form and items from the priority, stamp from the key."""
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey")
     day = F.to_date("o_orderdate")
-    seconds = (F.col("o_orderkey") * 37 % 86400).cast("int")
-    stamp = F.to_timestamp_ntz(F.date_format(day, "yyyy-MM-dd")) + F.make_dt_interval(secs=seconds)
+    stamp = F.to_timestamp_ntz(F.date_format(day, "yyyy-MM-dd")) + F.make_dt_interval(secs=(k * 37 % 86400).cast("int"))
+    shown = F.when(k % 3 == 0, "DEFM14A").when(k % 3 == 1, "SC 14D9").otherwise("SC TO-T")
     return load(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("cik"), F.col("o_orderkey").cast("string").alias("accession"), day.alias("filing_date"), stamp.alias("accepted_json"),
-        F.when(p == "1-URGENT", "DEFM14A").otherwise("8-K").alias("form"),
+        F.col("o_custkey").alias("cik"), k.cast("string").alias("accession"), day.alias("filing_date"), stamp.alias("accepted_json"),
+        F.when(p == "1-URGENT", shown).when((p == "5-LOW") & (k % 2 == 0), "10-K").otherwise("8-K").alias("form"),
         F.when(p == "2-HIGH", "2.02, 9.01").when(p == "3-MEDIUM", "1.01").when(p == "4-NOT SPECIFIED", "7.01,12.02").otherwise("8.01").alias("items"))
 
 
@@ -114,21 +113,24 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TIMES_SQL = f"""
 fl AS (SELECT o_custkey AS cik, CAST(o_orderkey AS VARCHAR) AS accession, {DAY} AS filing_date, CAST({DAY} AS TIMESTAMP) + to_seconds((o_orderkey * 37) % 86400) AS accepted_json, {FORMS} AS form, {ITEM_TEXT} AS items FROM orders),
-op AS (SELECT c_custkey AS cik FROM customer WHERE c_mktsegment <> 'BUILDING'),
-e8 AS (SELECT fl.* FROM fl JOIN op USING (cik) WHERE form = '8-K'),
-tf AS (SELECT DISTINCT cik, filing_date AS t FROM fl JOIN op USING (cik) WHERE form = 'DEFM14A'),
-deals AS (SELECT cik, t FROM (SELECT cik, t, lag(t) OVER (PARTITION BY cik ORDER BY t) AS b FROM tf) WHERE b IS NULL OR t - b > 120),
-acq AS (SELECT e.cik, accession, filing_date, accepted_json, 'acquisition_target' AS event_type, 'DEFM14A ' || CAST(t AS VARCHAR) AS evidence FROM e8 e JOIN deals d ON d.cik = e.cik AND t - filing_date BETWEEN 0 AND 120
+op AS (SELECT DISTINCT cik FROM fl JOIN customer ON c_custkey = cik WHERE form IN ('10-K', '10-Q') AND c_mktsegment <> 'BUILDING' AND filing_date BETWEEN DATE '1995-06-01' AND DATE '2001-01-31'),
+e8 AS (SELECT fl.* FROM fl JOIN op USING (cik) WHERE form = '8-K' AND filing_date BETWEEN DATE '1995-06-01' AND DATE '2001-01-31'),
+tf AS (SELECT cik, filing_date AS t, min(form) AS form FROM fl WHERE form IN ('PREM14A', 'DEFM14A', 'SC 14D9', 'SC14D9C', 'SC 13E3') AND filing_date BETWEEN DATE '1995-06-01' AND DATE '2001-01-31' + 120 GROUP BY 1, 2),
+deals AS (SELECT cik, t, form FROM (SELECT *, lag(t) OVER (PARTITION BY cik ORDER BY t) AS b FROM tf) WHERE b IS NULL OR t - b > 120),
+acq AS (SELECT e.cik, accession, filing_date, accepted_json, 'acquisition_target' AS event_type, d.form || ' ' || CAST(t AS VARCHAR) AS evidence FROM e8 e JOIN deals d ON d.cik = e.cik AND t - filing_date BETWEEN 0 AND 120
         WHERE items = '1.01' QUALIFY row_number() OVER (PARTITION BY e.cik, t ORDER BY filing_date DESC, accepted_json DESC, accession DESC) = 1),
-ty AS (SELECT * FROM (SELECT * FROM acq UNION ALL SELECT cik, accession, filing_date, accepted_json, 'earnings', 'item 2.02' FROM e8 WHERE items = '2.02, 9.01'
-        UNION ALL SELECT cik, accession, filing_date, accepted_json, 'other_material_candidate', 'item 7.01/8.01' FROM e8 WHERE items IN ('7.01,12.02', '8.01'))
-       QUALIFY row_number() OVER (PARTITION BY accession, event_type ORDER BY cik) = 1)"""
+ty AS (SELECT * FROM (SELECT * FROM acq UNION ALL SELECT cik, accession, filing_date, accepted_json, 'earnings', '' FROM e8 WHERE items = '2.02, 9.01'
+        UNION ALL SELECT cik, accession, filing_date, accepted_json, 'other_material_candidate', '' FROM e8 WHERE items IN ('7.01,12.02', '8.01'))
+       QUALIFY row_number() OVER (PARTITION BY accession, event_type ORDER BY cik, evidence) = 1)"""
+
+
+def built(spark: SparkSession, sf_dir: str, exact: DataFrame | None = None) -> DataFrame:
+    return events.build_events(companies(spark, sf_dir), filings(spark, sf_dir), P.sessions(spark, sf_dir), "1995-06-01", "2001-01-31", exact)
 
 
 @register("j05_build_events", f"WITH {TIMES_SQL} SELECT substr(event_type, 1, 3) || '-' || accession AS event_id, cik, event_type, evidence FROM ty")
 def build_events(spark, sf_dir):
-    made = events.build_events(companies(spark, sf_dir), filings(spark, sf_dir), P.sessions(spark, sf_dir), first_year=1990)
-    return made.select("event_id", "cik", "event_type", "evidence")
+    return built(spark, sf_dir).select("event_id", "cik", "event_type", "evidence")
 
 
 @register("j03_resolve_times", f"""WITH {P.sql_calendar()}, {TIMES_SQL},
@@ -141,8 +143,7 @@ tr AS (SELECT *, CASE WHEN sec BETWEEN 21600 AND 79200 AND implied IS NOT DISTIN
 be AS (SELECT * FROM tr QUALIFY tier = max(tier) OVER (PARTITION BY accession, event_type))
 SELECT substr(event_type, 1, 3) || '-' || accession AS event_id, min(d0) AS day0, CAST(count(DISTINCT d0) AS INT) AS day0_candidates FROM be GROUP BY accession, event_type""")
 def resolve_times(spark, sf_dir):
-    made = events.build_events(companies(spark, sf_dir), filings(spark, sf_dir), P.sessions(spark, sf_dir), first_year=1990)
-    return made.select("event_id", "day0", "day0_candidates")
+    return built(spark, sf_dir).select("event_id", "day0", "day0_candidates")
 
 
 @register("j41_hour_histogram", "SELECT CAST(date_part('hour', ts) AS INT) AS hour, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY 1")
@@ -167,7 +168,7 @@ def ticker_ranges(spark, sf_dir):
 @register("j08_event_tickers", f"""WITH v AS (SELECT o_orderpriority AS t, date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS volume FROM orders GROUP BY 1, 2),
 h AS (SELECT o.o_orderkey, m.ticker, m.valid_to, (SELECT sum(v.volume) FROM v WHERE v.t = m.ticker AND v.m BETWEEN date_trunc('month', o.o_orderdate) - INTERVAL 1 MONTH AND date_trunc('month', o.o_orderdate)) AS vol
   FROM orders o LEFT JOIN ({RANGES}) m ON m.cik = o.o_custkey AND (m.valid_from IS NULL OR {DAY} >= m.valid_from) AND (m.valid_to IS NULL OR {DAY} <= m.valid_to))
-SELECT CAST(o_orderkey AS VARCHAR) AS event_id, ticker, CASE WHEN ticker IS NOT NULL THEN 'map' END AS ticker_source FROM h QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY round(coalesce(vol, -1), 2) DESC, ticker) = 1""")
+SELECT CAST(o_orderkey AS VARCHAR) AS event_id, ticker, CASE WHEN ticker IS NOT NULL THEN 'map' END AS ticker_source FROM h QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY round(coalesce(vol, 0), 2) DESC, ticker) = 1""")
 def event_tickers(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     ev = o.select(F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("day0"))
@@ -183,63 +184,79 @@ def coverage(spark, sf_dir):
     return idmap.coverage(ev, t).withColumn("share", F.round("share", 6))
 
 
-@register("j16_audit_targets", f"""WITH t AS (SELECT o_orderkey, o_custkey, {DAY} AS d FROM orders WHERE o_orderpriority = '3-MEDIUM'),
-f AS (SELECT o_custkey, {DAY} AS fd, CASE o_orderstatus WHEN 'P' THEN 'SC TO-T' WHEN 'F' THEN '25' ELSE '8-K' END AS form FROM orders),
-x AS (SELECT t.*, (SELECT min(fd) FROM f WHERE f.o_custkey = t.o_custkey AND form = '25' AND fd BETWEEN d AND d + 730) AS exit_date,
-  EXISTS (SELECT 1 FROM f WHERE f.o_custkey = t.o_custkey AND form = 'SC TO-T' AND fd BETWEEN d - 30 AND d + 365) AS tender FROM t),
-y AS (SELECT x.*, CASE WHEN c_nationkey < 3 THEN 'spac' WHEN tender THEN 'tender_or_13e3' WHEN exit_date IS NOT NULL THEN 'delisted_after' ELSE 'unconfirmed' END AS category FROM x JOIN customer ON c_custkey = o_custkey)
+SPAC_SQL = r"'(?i)\bacquisition\s+(?:corp|corporation|company|co|inc|ltd|limited|holdings)\b|\bacquisitions?\s+corp\b|\bblank check\b'"
+FIRM = "CASE c_custkey % 9 WHEN 1 THEN 'Alpha Acquisition Corp' WHEN 2 THEN 'Acquisition Partners' ELSE c_name END"
+FORMER = "CASE c_custkey % 10 WHEN 3 THEN 'Older Name|Beta Acquisitions Corp.' ELSE 'Older Name' END"
+
+
+@register("j16_audit_targets", f"""WITH t AS (SELECT o_orderkey, o_custkey, {DAY} AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || (o_custkey % 50) END AS ticker FROM orders WHERE o_orderpriority = '3-MEDIUM'),
+f AS (SELECT o_custkey, {DAY} AS fd, CASE o_orderkey % 5 WHEN 0 THEN 'SC TO-T' WHEN 1 THEN '25-NSE' WHEN 2 THEN 'SC 13E3' WHEN 3 THEN '25' ELSE '15-12B' END AS form FROM orders WHERE o_orderstatus = 'P'),
+x AS (SELECT t.*, (SELECT min(fd) FROM f WHERE f.o_custkey = t.o_custkey AND form IN ('25-NSE', '15-12B') AND fd BETWEEN d AND d + 730) AS exit_date,
+  EXISTS (SELECT 1 FROM f WHERE f.o_custkey = t.o_custkey AND form IN ('SC 14D9', 'SC 13E3') AND fd BETWEEN d - 30 AND d + 365) AS tender FROM t),
+y AS (SELECT x.*, CASE WHEN c_nationkey < 3 OR regexp_matches({FIRM} || '|' || {FORMER} || '|' || CASE WHEN ticker IS NOT NULL AND c_custkey % 7 = 0 AND d >= DATE '1997-01-01' THEN 'Gamma Blank Check Co' ELSE '' END, {SPAC_SQL}) THEN 'spac'
+  WHEN tender THEN 'tender_or_13e3' WHEN exit_date IS NOT NULL THEN 'delisted_after' ELSE 'unconfirmed' END AS category FROM x JOIN customer ON c_custkey = o_custkey)
 SELECT CAST(o_orderkey AS VARCHAR) AS event_id, category, category IN ('tender_or_13e3', 'delisted_after') AS in_target_set, exit_date FROM y""")
 def audit_targets(spark, sf_dir):
     o = load(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
-    t = o.where("o_orderpriority = '3-MEDIUM'").select(F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_custkey").alias("cik"), F.col("d").alias("day0"))
-    form = F.when(F.col("o_orderstatus") == "P", "SC TO-T").when(F.col("o_orderstatus") == "F", "25").otherwise("8-K")
-    f = o.select(F.col("o_custkey").alias("cik"), form.alias("form"), F.col("d").alias("filing_date"))
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") < 3, "6770").alias("sic"))
-    return idmap.audit_targets(t, f, c)
+    k, own = F.col("o_orderkey"), lambda c: F.concat(F.lit("T"), (F.col(c) % 50).cast("string"))
+    t = o.where("o_orderpriority = '3-MEDIUM'").select(k.cast("string").alias("event_id"), F.col("o_custkey").alias("cik"), F.col("d").alias("day0"), F.when(k % 2 == 0, own("o_custkey")).alias("ticker"))
+    form = F.element_at(F.array(*map(F.lit, ("SC TO-T", "25-NSE", "SC 13E3", "25", "15-12B"))), (k % 5 + 1).cast("int"))
+    f = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("cik"), form.alias("form"), F.col("d").alias("filing_date"))
+    c, n = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    firms = c.select(n.alias("cik"), F.when(n % 9 == 1, "Alpha Acquisition Corp").when(n % 9 == 2, "Acquisition Partners").otherwise(F.col("c_name")).alias("name"),
+                     F.when(n % 10 == 3, "Older Name|Beta Acquisitions Corp.").otherwise("Older Name").alias("former_names"), F.when(F.col("c_nationkey") < 3, "6770").otherwise("2834").alias("sic"))
+    m = c.select(own("c_custkey").alias("ticker"), n.alias("cik"), F.when(n % 7 == 0, "Gamma Blank Check Co").otherwise("Plain").alias("name"), F.lit("1997-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    return idmap.audit_targets(t, f, firms, m)
 
 
 # ---------------------------------------------------------------- day-0 rules
 
 
 @register("j17_daily_rule", f"""WITH {P.sql_calendar()},
-br AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r, volume FROM b0),
-mr AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS r FROM m0),
-rw AS (SELECT br.symbol, br.date, br.r - mr.r AS ar, volume, row_number() OVER (PARTITION BY br.symbol ORDER BY br.date) AS i FROM br JOIN mr USING (date)),
-e AS (SELECT event_id, symbol, day0, event_id % 2 = 0 AS ac, (SELECT count(*) FROM rw WHERE rw.symbol = ev.symbol AND rw.date < ev.day0) + 1 AS i0 FROM ev WHERE day0 IS NOT NULL),
-j AS (SELECT e.*, rw.date, rw.ar, rw.volume, rw.i - e.i0 AS rel FROM e JOIN rw ON rw.symbol = e.symbol AND rw.i BETWEEN e.i0 - 250 AND e.i0 - 1),
-b1 AS (SELECT event_id, median(ar) AS md, median(volume) AS mv, count(ar) AS n FROM j WHERE rel <= -31 GROUP BY 1),
-b2 AS (SELECT event_id, any_value(md) AS md, any_value(mv) AS mv, any_value(n) AS n, 1.4826 * median(abs(ar - md)) AS sd FROM j JOIN b1 USING (event_id) WHERE rel <= -31 GROUP BY 1),
-c AS (SELECT j.*, n, greatest(0.05, 3 * coalesce(sd, 0)) AS thr, mv, (1 + ar) * (1 + coalesce(lead(ar) OVER (PARTITION BY event_id ORDER BY rel), 0)) - 1 AS fwd FROM j JOIN b2 USING (event_id)),
-h AS (SELECT *, (abs(ar) >= thr AND volume >= 3 * mv) AS bs, (abs(ar) >= 0.05 AND volume >= 10 * mv) AS bv FROM c WHERE rel >= -2),
-k AS (SELECT *, (bs OR bv) AND sign(fwd) = sign(ar) AND abs(fwd) >= CASE WHEN bs THEN thr ELSE 0.05 END / 2 AS hit FROM h),
-g AS (SELECT event_id, max(date) FILTER (WHERE hit AND rel = -1) AS last, list(date ORDER BY date) FILTER (WHERE hit) AS hits FROM k GROUP BY 1),
-z AS (SELECT e.event_id, e.day0, e.ac, g.last, g.hits, coalesce(b2.n, 0) >= 60 AS ok, coalesce(b2.n, 0) >= 60 AND e.ac AND g.last IS NOT NULL AS sh FROM e LEFT JOIN g USING (event_id) LEFT JOIN b2 USING (event_id))
-SELECT event_id, CASE WHEN sh THEN last ELSE day0 END AS day0, CASE WHEN NOT ok THEN '8k_no_data' WHEN sh THEN 'shifted' ELSE '8k' END AS basis, CAST(sh AS INT) AS shift,
-  CASE WHEN ok THEN coalesce(array_to_string(list_transform(list_filter(hits, lambda d: d < CASE WHEN sh THEN last ELSE day0 END), lambda d: CAST(d AS VARCHAR)), '|'), '') ELSE '' END AS prior_moves FROM z""")
+rw AS (SELECT symbol, date, volume, close / lag(close) OVER w - mc / lag(mc) OVER w AS ar, row_number() OVER w AS i FROM (SELECT b0.symbol, b0.date, b0.close, b0.volume, m0.close AS mc FROM b0 JOIN m0 USING (date)) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+e AS (SELECT event_id, symbol, day0, CASE WHEN event_id % 2 = 0 THEN (SELECT session FROM s WHERE s.idx = ev.i0 - 1) END AS acc, (SELECT i FROM rw WHERE rw.symbol = ev.symbol AND rw.date = ev.day0) AS i0 FROM ev WHERE day0 IS NOT NULL),
+j AS (SELECT e.event_id, rw.date, rw.ar, rw.volume, rw.i - e.i0 AS rel FROM e JOIN rw ON rw.symbol = e.symbol AND rw.i BETWEEN e.i0 - 250 AND e.i0),
+b1 AS (SELECT event_id, median(ar) AS md, nullif(median(volume), 0) AS mv, count(ar) AS n FROM j WHERE rel <= -31 GROUP BY 1),
+b2 AS (SELECT event_id, any_value(mv) AS mv, any_value(n) AS n, greatest(0.05, 3 * 1.4826 * median(abs(ar - md))) AS thr FROM j JOIN b1 USING (event_id) WHERE rel <= -31 GROUP BY 1 HAVING any_value(n) >= 60),
+c AS (SELECT j.*, thr, volume / mv AS vr, (SELECT product(1 + coalesce(k.ar, 0)) FROM j k WHERE k.event_id = j.event_id AND k.rel >= j.rel) - 1 AS cum FROM j JOIN b2 USING (event_id) WHERE rel >= -2),
+k AS (SELECT *, CASE WHEN abs(ar) >= thr AND vr >= 3 THEN thr WHEN abs(ar) >= 0.05 AND vr >= 10 THEN 0.05 END AS bar FROM c),
+h AS (SELECT event_id, list(date ORDER BY date) FILTER (WHERE sign(cum) = sign(ar) AND abs(cum) >= bar / 2) AS hits, max(date) FILTER (WHERE rel = -1) AS prev FROM k GROUP BY 1),
+z AS (SELECT e.*, h.event_id IS NOT NULL AS ok, coalesce(h.prev = acc AND list_contains(hits, acc), false) AS sh, coalesce(hits, []) AS hits FROM e LEFT JOIN h USING (event_id))
+SELECT event_id, CASE WHEN sh THEN acc ELSE day0 END AS day0, CASE WHEN NOT ok THEN '8k_no_data' WHEN sh THEN 'late_8k_shift' WHEN list_contains(hits, day0) THEN '8k_confirmed' ELSE '8k_no_move' END AS basis, CAST(sh AS INT) AS shift,
+  array_to_string(list_transform(list_filter(hits, lambda d: d < CASE WHEN sh THEN acc ELSE day0 END), lambda d: CAST(d AS VARCHAR)), '|') AS prior_moves FROM z""")
 def daily_rule(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("date")
-    ret = lambda df: df.withColumn("r", F.col("close") / F.lag("close").over(w) - 1)
-    index = ret(P.market(spark, sf_dir)).select("date", F.col("r").alias("mr"))
-    rows = ret(P.bars(spark, sf_dir)).join(F.broadcast(index), "date").select("symbol", "date", (F.col("r") - F.col("mr")).alias("ar"), "volume")
-    ev = P.announcements(spark, sf_dir).where("day0 IS NOT NULL").select("event_id", "symbol", F.col("day0").alias("day0_8k"), (F.col("event_id") % 2 == 0).alias("after_close"))
-    return daymove.choose_day0(ev, rows)
-
-
-@register("j18_first_move", """WITH b AS (SELECT user_id, ts, event_id, value + 10 AS c, 100.0 + event_id % 7 * 400 AS v, CAST(ts AS DATE) AS day, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts) AS sec FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1)),
-r AS (SELECT *, sec BETWEEN 34200 AND 57599 AS reg FROM b),
-cl AS (SELECT user_id, day, max_by(c, ts) AS close, median(v) AS mv FROM r WHERE reg GROUP BY 1, 2),
-c2 AS (SELECT *, lag(close) OVER w AS prev, close / lag(close) OVER w - 1 AS ret FROM cl WINDOW w AS (PARTITION BY user_id ORDER BY day)),
-c3 AS (SELECT *, stddev_samp(ret) OVER w AS sd, count(close) OVER w AS n, median(mv) OVER w AS bv FROM c2 WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-x AS (SELECT *, median(c) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS nxt FROM r),
-y AS (SELECT x.*, n, bv, CASE WHEN sec >= 57600 THEN close ELSE prev END AS ref, greatest(0.05, 3 * coalesce(sd, 0)) AS thr FROM x JOIN c3 USING (user_id, day)),
-z AS (SELECT *, c / ref - 1 AS mv FROM y),
-h AS (SELECT * FROM z WHERE n >= 3 AND abs(mv) >= thr AND v >= 5 * bv AND (nxt / ref - 1) * sign(mv) >= thr / 2)
-SELECT user_id, epoch_us(min(ts)) AS at_us, round(arg_min(mv, ts), 6) AS move, round(arg_min(thr, ts), 6) AS threshold FROM h GROUP BY 1""")
+    rows = daymove.market_rows(P.bars(spark, sf_dir), P.market(spark, sf_dir))
+    before = P.sessions(spark, sf_dir).select((F.col("idx") + 1).alias("i0"), F.col("session").alias("_before"))
+    ev = P.announcements(spark, sf_dir).where("day0 IS NOT NULL").join(F.broadcast(before), "i0", "left")
+    # Half of the filings come in at 17:00 of the session before.
+    stamp = F.to_timestamp_ntz(F.date_format("_before", "yyyy-MM-dd")) + F.make_dt_interval(hours=F.lit(17))
+    ev = ev.select("event_id", "symbol", F.col("day0").alias("day0_8k"), F.when(F.col("event_id") % 2 == 0, stamp).alias("accepted"))
+    return daymove.choose_day0(ev, rows).drop("note")
+
+
+@register("j18_first_move", """WITH s AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS idx FROM (SELECT DISTINCT CAST(ts AS DATE) AS session FROM events)),
+b AS (SELECT user_id, ts, idx, 100 + value / 10 AS c, CASE WHEN event_id % 5 = 0 THEN 900.0 ELSE 100.0 END AS v, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + floor(date_part('second', ts)) AS sec
+      FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1) JOIN s ON session = CAST(ts AS DATE)),
+r AS (SELECT * FROM b WHERE sec >= 34200 AND sec < 57600),
+cl AS (SELECT user_id, idx, max_by(c, ts) AS close FROM r GROUP BY 1, 2),
+e AS (SELECT DISTINCT user_id, idx AS i0 FROM b),
+bc AS (SELECT e.user_id, i0, close, close / lag(close) OVER (PARTITION BY e.user_id, i0 ORDER BY idx) - 1 AS ret FROM e JOIN cl ON cl.user_id = e.user_id AND idx BETWEEN i0 - 12 AND i0 - 3),
+sd AS (SELECT user_id, i0, count(*) AS n, greatest(0.05, 3 * coalesce(stddev_samp(ret), 0)) AS thr FROM bc GROUP BY 1, 2 HAVING count(*) >= 3),
+bv AS (SELECT e.user_id, i0, median(v) AS bv FROM e JOIN r ON r.user_id = e.user_id AND idx BETWEEN i0 - 12 AND i0 - 3 GROUP BY 1, 2),
+w AS (SELECT e.i0, b.*, median(c) OVER (PARTITION BY e.user_id, i0 ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING) AS nxt FROM e JOIN b ON b.user_id = e.user_id AND idx BETWEEN i0 - 2 AND i0),
+x AS (SELECT w.*, cl.close AS ref, thr, bv FROM w JOIN sd USING (user_id, i0) JOIN bv USING (user_id, i0) LEFT JOIN cl ON cl.user_id = w.user_id AND cl.idx = CASE WHEN sec >= 57600 THEN w.idx ELSE w.idx - 1 END),
+h AS (SELECT user_id, i0, min(ts) AS hit_ts, arg_min(c / ref - 1, ts) AS move FROM x WHERE ref > 0 AND abs(c / ref - 1) >= thr AND v >= 5 * bv AND (nxt / ref - 1) * CASE WHEN c > ref THEN 1 ELSE -1 END >= thr / 2 GROUP BY 1, 2)
+SELECT e.user_id, e.i0, epoch_us(hit_ts) AS at_us, round(move, 6) AS move, round(thr, 6) AS threshold FROM e LEFT JOIN sd USING (user_id, i0) LEFT JOIN h USING (user_id, i0)""")
 def first_move(spark, sf_dir):
+    """Events as minutes of a user's stock, each user's days as its filings' day 0."""
     one = F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))
-    b = load(spark, sf_dir, "events").withColumn("rn", one).where("rn = 1").select("user_id", "ts", (F.col("value") + 10).alias("c"), (F.lit(100.0) + F.col("event_id") % 7 * 400).alias("v"))
-    made = daymove.first_move(b, "user_id")
-    return made.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.round("move", 6).alias("move"), F.round("threshold", 6).alias("threshold"))
+    raw = load(spark, sf_dir, "events")
+    cal = calendar.numbered(raw.select(F.to_date("ts").alias("session")))
+    b = raw.withColumn("rn", one).where("rn = 1").select(F.col("user_id").alias("symbol"), "ts", (100 + F.col("value") / 10).alias("c"), F.when(F.col("event_id") % 5 == 0, 900.0).otherwise(100.0).alias("v"))
+    days = b.select("symbol", F.to_date("ts").alias("day0")).distinct()
+    ev = days.join(F.broadcast(cal.withColumnRenamed("session", "day0")), "day0").select(F.struct("symbol", F.col("idx").alias("i0")).alias("event_id"), "symbol", "day0")
+    made = daymove.first_move(ev, b, cal)
+    return made.select(F.col("event_id.symbol").alias("user_id"), F.col("event_id.i0").alias("i0"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.round("move", 6).alias("move"), F.round("threshold", 6).alias("threshold"))
 
 
 # ---------------------------------------------------------------- matching
@@ -298,9 +315,17 @@ def resolve_cik(spark, sf_dir):
 # ---------------------------------------------------------------- text
 
 
-@register("t01_company_name", r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(replace(lower(s_name), '&', ' and '), '[''’.]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM supplier""")
+WRITTEN = "CASE s_suppkey % 7 WHEN 0 THEN s_name || ', Inc. /DE/' WHEN 1 THEN 'The ' || s_name || ' & Sons Co.' WHEN 2 THEN s_name || ' Trust d/b/a Other Name' WHEN 3 THEN 'O''' || s_name || ' Class A' WHEN 4 THEN 'The Company, Inc.' WHEN 5 THEN s_name || '/NEW/ International Holdings' ELSE s_name END"
+STOP_SQL = "['inc', 'incorporated', 'corp', 'corporation', 'co', 'company', 'ltd', 'limited', 'plc', 'holdings', 'holding', 'group', 'lp', 'llc', 'sa', 'nv', 'ag', 'the', 'de', 'class', 'a', 'b', '']"
+
+
+@register("t01_company_name", rf"""SELECT s_suppkey, array_to_string(list_filter(string_split(regexp_replace(replace(regexp_replace(regexp_replace(lower({WRITTEN}), '/[a-z]{{2,3}}/?', ' ', 'g'), '\bd/?b/?a\b.*$', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: NOT list_contains({STOP_SQL}, w)), ' ') AS name FROM supplier""")
 def company_name(spark, sf_dir):
-    return load(spark, sf_dir, "supplier").select("s_suppkey", text.company_name(F.col("s_name")).alias("name"))
+    k, n = F.col("s_suppkey") % 7, F.col("s_name")
+    forms = (F.concat(n, F.lit(", Inc. /DE/")), F.concat(F.lit("The "), n, F.lit(" & Sons Co.")), F.concat(n, F.lit(" Trust d/b/a Other Name")), F.concat(F.lit("O'"), n, F.lit(" Class A")),
+             F.lit("The Company, Inc."), F.concat(n, F.lit("/NEW/ International Holdings")), n)
+    written = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    return load(spark, sf_dir, "supplier").select("s_suppkey", text.company_name(written).alias("name"))
 
 
 @register("t02_canonical_quote", r"""SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(text, 5, 60), '\s+', ' ', 'g')))) AS found FROM documents""")
@@ -309,12 +334,21 @@ def canonical_quote(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.contains(text.canonical(t), text.canonical(F.substring(t, 5, 60))).alias("found"))
 
 
-@register("j33_verify_date", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'verified' WHEN o_orderkey % 3 = 1 THEN 'date_not_in_quote' ELSE 'quote_not_found' END AS check FROM orders""")
+STATED = "CASE o_orderkey % 8 WHEN 0 THEN strftime(d, '%B %-d, %Y') WHEN 1 THEN strftime(d, '%b. %-d %Y') WHEN 2 THEN strftime(d, '%-m/%-d/%Y') WHEN 3 THEN strftime(d, '%m/%d/%Y') WHEN 4 THEN strftime(d, '%-d %B %Y') WHEN 5 THEN strftime(d, '%B %Y') WHEN 6 THEN strftime(d + 1, '%B %-d, %Y') ELSE upper(strftime(d, '%B  %-d, %Y')) END"
+
+
+@register("j33_verify_date", rf"""WITH x AS (SELECT o_orderkey, {DAY} AS d FROM orders),
+y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN d END AS d, CASE WHEN o_orderkey % 13 <> 0 THEN 'On  ' || {STATED} || ' it said' END AS q, 'News. ON ' || CASE WHEN o_orderkey % 5 = 0 THEN 'some day' ELSE {STATED} END || ' it SAID so.' AS t FROM x),
+z AS (SELECT *, contains(lower(trim(regexp_replace(t, '\s+', ' ', 'g'))), lower(trim(regexp_replace(q, '\s+', ' ', 'g')))) AS found,
+  regexp_matches(q, '(?i)(?:' || strftime(d, '%B') || '|' || strftime(d, '%b') || ')\.?\s+' || strftime(d, '%-d,?') || '\s+' || strftime(d, '%Y') || '|\b' || strftime(d, '%-m/%-d/%Y') || '\b|\b' || strftime(d, '%m/%d/%Y') || '\b') AS holds FROM y)
+SELECT o_orderkey, CASE WHEN found AND holds THEN d END AS day, CASE WHEN d IS NULL THEN 'none_given' WHEN q IS NULL OR NOT found THEN 'quote_not_in_release' WHEN NOT holds THEN 'quote_lacks_full_date' ELSE 'verified' END AS reason FROM z""")
 def verify_date(spark, sf_dir):
-    k, d = F.col("o_orderkey") % 3, F.to_date("o_orderdate")
-    quote = F.when(k == 1, F.lit("On a later day")).otherwise(F.concat(F.lit("On  "), F.date_format(d, "MMMM d, yyyy"), F.lit(" it said")))
-    body = F.concat(F.lit("News. ON "), F.when(k == 1, F.lit("a LATER day")).otherwise(F.date_format(F.when(k == 2, F.date_add(d, 1)).otherwise(d), "MMMM d, yyyy")), F.lit(" it said so."))
-    return load(spark, sf_dir, "orders").select("o_orderkey", text.verify_date(d, quote, body).alias("check"))
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    forms = [F.date_format(d, f) for f in ("MMMM d, yyyy", "MMM. d yyyy", "M/d/yyyy", "MM/dd/yyyy", "d MMMM yyyy", "MMMM yyyy")]
+    stated = F.element_at(F.array(*forms, F.date_format(F.date_add(d, 1), "MMMM d, yyyy"), F.upper(F.date_format(d, "MMMM  d, yyyy"))), (k % 8 + 1).cast("int"))
+    quote = F.when(k % 13 != 0, F.concat(F.lit("On  "), stated, F.lit(" it said")))
+    body = F.concat(F.lit("News. ON "), F.when(k % 5 == 0, "some day").otherwise(stated), F.lit(" it SAID so."))
+    return load(spark, sf_dir, "orders").select("o_orderkey", text.verify_date(F.when(k % 11 != 0, d), quote, body).alias("v")).select("o_orderkey", "v.*")
 
 
 @register("t03_any_date", f"SELECT o_orderkey, {DAY} AS d FROM orders")
@@ -337,10 +371,13 @@ def redirect_target(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", text.redirect_target(link).alias("target"))
 
 
-@register("t06_sic_division", "SELECT p_partkey, CASE WHEN s < 1 THEN NULL WHEN s <= 9 THEN 'A' WHEN s <= 14 THEN 'B' WHEN s <= 17 THEN 'C' WHEN s <= 39 THEN 'D' WHEN s <= 49 THEN 'E' WHEN s <= 51 THEN 'F' WHEN s <= 59 THEN 'G' WHEN s <= 67 THEN 'H' WHEN s <= 89 THEN 'I' WHEN s <= 99 THEN 'J' END AS division FROM (SELECT p_partkey, (p_partkey * 13) % 10000 // 100 AS s FROM part)")
+@register("t06_sic_division", "SELECT p_partkey, CASE WHEN s BETWEEN 1 AND 9 THEN 'A' WHEN s BETWEEN 10 AND 14 THEN 'B' WHEN s BETWEEN 15 AND 17 THEN 'C' WHEN s BETWEEN 20 AND 39 THEN 'D' WHEN s BETWEEN 40 AND 49 THEN 'E' WHEN s BETWEEN 50 AND 51 THEN 'F' WHEN s BETWEEN 52 AND 59 THEN 'G' WHEN s BETWEEN 60 AND 67 THEN 'H' WHEN s BETWEEN 70 AND 89 THEN 'I' WHEN s BETWEEN 91 AND 99 THEN 'J' ELSE '?' END AS division FROM (SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey * 13) % 10000 // 100 END AS s FROM part)")
 def sic_division(spark, sf_dir):
-    code = F.lpad((F.col("p_partkey") * 13 % 10000).cast("string"), 4, "0")
-    return load(spark, sf_dir, "part").select("p_partkey", text.sic_division(code).alias("division"))
+    """Codes with and without leading zeros; every 17th is missing or a word."""
+    k = F.col("p_partkey")
+    code = (k * 13 % 10000).cast("string")
+    written = F.when(k % 34 == 0, "none").when(k % 17 != 0, F.when(k % 2 == 0, F.lpad(code, 4, "0")).otherwise(code))
+    return load(spark, sf_dir, "part").select("p_partkey", text.sic_division(written).alias("division"))
 
 
 @register("t07_years_in", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\b((?:19|20)\d{2})\b', 1), lambda y: CAST(y AS INT)))), ',') AS years FROM documents")
@@ -354,12 +391,21 @@ def truncation(spark, sf_dir):
     return load(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_if(long).alias("cut"), F.round(F.count_if(long) / F.count("*"), 6).alias("share"))
 
 
-@register("j14_classify", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'agree' WHEN 2 THEN 'units_or_warrants' WHEN 3 THEN 'not_in_map' WHEN 4 THEN 'same_company_other' ELSE 'other_company' END AS outcome FROM orders")
+READ_TICKER = "CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN m WHEN 3 THEN m || 'W' WHEN 4 THEN m || '.UN' WHEN 5 THEN 'T' || (o_orderkey % 60) WHEN 6 THEN m || 'R' ELSE 'T' || ((o_custkey + 1) % 50) END"
+
+
+@register("j14_classify", f"""WITH r AS (SELECT DISTINCT 'T' || ((c_custkey + k) % 50) AS ticker, c_custkey AS cik FROM customer, (SELECT unnest([0, 1]) AS k)),
+x AS (SELECT o_orderkey, o_custkey, m, {READ_TICKER} AS f FROM (SELECT *, 'T' || (o_custkey % 50) AS m FROM orders))
+SELECT o_orderkey, CASE WHEN coalesce(f, '') = '' THEN 'no_ticker_in_release' WHEN f = m THEN 'agree' WHEN regexp_full_match(f, m || '[.-]?(U|UN|W|WS|WT)') THEN 'units_or_warrants'
+  WHEN NOT EXISTS (SELECT 1 FROM r WHERE ticker = f) THEN 'release_ticker_not_in_map' WHEN EXISTS (SELECT 1 FROM r WHERE ticker = f AND cik = o_custkey) THEN 'same_company_other_ticker' ELSE 'release_ticker_other_company' END AS outcome FROM x""")
 def classify(spark, sf_dir):
-    k = F.col("o_orderkey") % 6
-    found = F.when(k == 1, "ABC").when(k == 2, "ABCW").when(k > 2, "XYZ")
-    mapped_cik = F.when(k == 4, F.col("o_custkey")).when(k == 5, F.col("o_custkey") + 1)
-    return load(spark, sf_dir, "orders").select("o_orderkey", idmap.classify(found, F.lit("ABC"), mapped_cik, F.col("o_custkey")).alias("outcome"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = lambda x: F.concat(F.lit("T"), x.cast("string"))
+    m = t(c % 50)
+    read = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), m, F.concat(m, F.lit("W")), F.concat(m, F.lit(".UN")), t(k % 60), F.concat(m, F.lit("R")), t((c + 1) % 50)), (k % 8 + 1).cast("int"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", c.alias("cik"), m.alias("map_ticker"), read.alias("release_ticker"))
+    held = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.explode(F.array(t(F.col("c_custkey") % 50), t((F.col("c_custkey") + 1) % 50))).alias("ticker"))
+    return idmap.classified(rows, held).select("o_orderkey", "outcome")
 
 
 @register("c_new_york_offset", f"SELECT DISTINCT {DAY} AS d, 17 - CAST(date_part('hour', (CAST({DAY} AS TIMESTAMP) + INTERVAL 17 HOUR) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS INT) AS hours FROM orders")

@@ -25,6 +25,13 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("symbol", F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), utc).alias("ts"), F.col("b.c").alias("c"), F.col("b.v").alias("v"))
 
 
+def with_raw_close(bars: DataFrame) -> DataFrame:
+    """Adjusted bars (``adjustment`` ``all``) with the raw close of the same
+    symbol and date as ``close_raw``, null where there is none."""
+    raw = bars.where("adjustment = 'raw'").select("symbol", "date", F.col("close").alias("close_raw"))
+    return bars.where("adjustment = 'all'").drop("adjustment").join(raw, ["symbol", "date"], "left")
+
+
 def todo(wanted: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """What is still to load: wanted less done."""
     return wanted.join(ledger.select(*keys), keys, "left_anti")

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Forms that the feed keeps.
-FORMS = ("8-K", "SC 14D9", "SC14D9C", "SC 14D9/A", "DEFM14A", "PREM14A", "DEFM14C", "PREM14C", "SC TO-T", "SC TO-T/A", "SC 13E3", "PREC14A", "25", "25-NSE", "15-12B", "15-12G")
+FORMS = (
+    "8-K", "8-K/A", "10-K", "10-Q", "PREM14A", "DEFM14A", "SC 14D9", "SC14D9C", "SC 13E3",
+    "SC TO-T", "25-NSE", "15-12B",
+)
 BLOCK = "struct<accessionNumber:array<string>,filingDate:array<string>,acceptanceDateTime:array<string>,form:array<string>,items:array<string>>"
 FILER = f"cik string, name string, entityType string, sic string, tickers array<string>, exchanges array<string>, formerNames array<struct<name:string>>, filings struct<recent:{BLOCK}>"
 _MEMBER = re.compile(r"CIK(\d{10})(-submissions-\d+)?\.json$")
@@ -42,9 +45,9 @@ def _unnest(rows: DataFrame, block: str, src: str) -> DataFrame:
     r = rows.select("cik", F.explode(zipped).alias("z"))
     fields = [F.col("z").getField(n) for n in ("accessionNumber", "filingDate", "acceptanceDateTime", "form", "items")]
     accession, filed, accepted, form, items = fields
-    stamp = F.to_timestamp_ntz(F.regexp_replace(accepted, r"(\.\d+)?Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    stamp = F.replace(F.replace(accepted, F.lit("T"), F.lit(" ")), F.lit(".000Z"), F.lit("")).try_cast("timestamp_ntz")
     out = r.where(form.isin(*FORMS))
-    return out.select("cik", accession.alias("accession"), filed.try_cast("date").alias("filing_date"), stamp.alias("accepted_json"), form.alias("form"), items.alias("items"), F.lit(src).alias("src"))
+    return out.select("cik", accession.alias("accession"), filed.try_cast("date").alias("filing_date"), stamp.alias("accepted_json"), form.alias("form"), F.coalesce(items, F.lit("")).alias("items"), F.lit(src).alias("src"))
 
 
 def load_feed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,11 +55,11 @@ def load_feed(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     filings, continuation files only filings. Forms are filtered at once."""
     main = members.where(~F.col("member").contains("-submissions-")).select("cik", F.from_json("body", FILER).alias("p"))
     more = members.where(F.col("member").contains("-submissions-")).select("cik", F.from_json("body", BLOCK).alias("p"))
-    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "|")
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "|", "")
     companies = main.select("cik", F.col("p.name").alias("name"), F.col("p.entityType").alias("entity_type"), F.col("p.sic").alias("sic"), joined(F.col("p.tickers")).alias("tickers"), joined(F.col("p.exchanges")).alias("exchanges"), joined(F.col("p.formerNames.name")).alias("former_names"))
     recent = main.select("cik", F.col("p.filings.recent").alias("b"))
-    filings = _unnest(recent, "b", "recent").unionByName(_unnest(more.withColumnRenamed("p", "b"), "b", "more"))
-    return companies, filings.dropDuplicates(["cik", "accession"])
+    filings = _unnest(recent, "b", "recent").unionByName(_unnest(more.withColumnRenamed("p", "b"), "b", "file"))
+    return companies, filings.distinct()
 
 
 def pages_covering(pages: DataFrame, day: str) -> DataFrame:
