@@ -7,7 +7,8 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that belong to words: digits, letters a-z and every byte of a
@@ -21,24 +22,20 @@ _WORD_BYTES = bytes(
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names no such folder (tests on one machine) is a
-    temporary one set, for checkpoints as well.
+    Where the session names no such folder, a local master (as in tests) gets
+    a temporary one, for checkpoints as well; a cluster gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession, "probe")
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read again.
 
@@ -51,6 +48,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, read from Parquet, with each row's place in the order of its
+    files and their rows as column ``name``; null where they are no file scan.
+
+    Files are as many as the tasks that wrote them: their running sum is small.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    sizes = placed.groupBy("_file").count()
+    before = F.sum("count").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_start")))
+    return placed.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def arrow_fs(uri: str):
     """The pyarrow file system and path of a folder in the shared storage."""
     from pyarrow import fs
