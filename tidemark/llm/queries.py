@@ -84,39 +84,25 @@ def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-# Slot by slot: lists hold each source's quota, blocks run and blocks left.
+# Windows in whole numbers, then earliest deadline first, slot by slot.
 OP8_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS src,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
 k AS (SELECT doc_id, source, src, row_number() OVER (PARTITION BY src ORDER BY m, doc_id) - 1 AS k FROM d),
-s0 AS (SELECT src, count(*) AS docs, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS BIGINT) AS w FROM d GROUP BY src),
-s1 AS (SELECT src, docs, w, CAST((SELECT sum(w) FROM s0) AS BIGINT) AS tot FROM s0),
-s AS (SELECT src, (docs + {pfair.BLOCK_DOCS - 1}) // {pfair.BLOCK_DOCS} AS n, greatest(1, (2 * {pfair.PERIOD} * w + tot) // (2 * tot)) AS q FROM s1),
-l AS (SELECT list(src ORDER BY src) AS names, list(CAST(n AS BIGINT) ORDER BY src) AS n, list(CAST(q AS BIGINT) ORDER BY src) AS q FROM s),
+z AS (SELECT greatest({pfair.BLOCK_DOCS}, CAST(ceil(count(*) / {pfair.MOST_BLOCKS}) AS BIGINT)) AS size FROM d),
+s AS (SELECT src, CAST((count(*) + (SELECT size FROM z) - 1) // (SELECT size FROM z) AS HUGEINT) AS n, CAST(floor(sqrt(CAST(count(*) AS DOUBLE)) * 1000) AS HUGEINT) AS w FROM d GROUP BY src),
+p AS (SELECT src, w, n, CAST(unnest(generate_series(0, n::BIGINT)) AS HUGEINT) AS j FROM s),
+x AS (SELECT p.src, p.j, p.w, p.n, p.w * coalesce(sum(u.n) FILTER (WHERE u.n * p.w <= p.j * u.w), 0) + p.j * coalesce(sum(u.w) FILTER (WHERE u.n * p.w > p.j * u.w), 0) AS x FROM p, s u GROUP BY p.src, p.j, p.w, p.n),
+b AS (SELECT a.src, CAST(a.j AS BIGINT) AS block, CAST(a.x // a.w AS BIGINT) AS r, CAST((e.x + e.w - 1) // e.w AS BIGINT) AS d FROM x a JOIN x e ON e.src = a.src AND e.j = a.j + 1),
 st AS (
-  SELECT CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, n AS rest, list_transform(n, lambda x: CAST(0 AS BIGINT)) AS ran,
-         list_transform(range(1, len(n) + 1), lambda i: least(q[i], n[i])) AS m FROM l
+  SELECT CAST(-1 AS BIGINT) AS slot, NULL::STRUCT(d BIGINT, src VARCHAR, block BIGINT, r BIGINT) AS pick, list({{'d': d, 'src': src, 'block': block, 'r': r}}) AS todo FROM b
   UNION ALL
-  SELECT slot + 1, CASE WHEN ends THEN 0 ELSE t + 1 END, CASE WHEN ends THEN rest2 ELSE rest END,
-         CASE WHEN ends THEN list_transform(ran, lambda x: CAST(0 AS BIGINT)) ELSE ran2 END,
-         CASE WHEN ends THEN list_transform(range(1, len(rest2) + 1), lambda i: least(q[i], rest2[i])) ELSE m END
-  FROM (
-    SELECT *, t + 1 = list_sum(m) AS ends, list_transform(range(1, len(ran) + 1), lambda i: ran[i] + CASE WHEN i = p THEN 1 ELSE 0 END) AS ran2,
-           list_transform(range(1, len(rest) + 1), lambda i: rest[i] - m[i]) AS rest2
-    FROM (
-      SELECT st.*, (SELECT q FROM l) AS q, list_sort(list_filter(list_transform(range(1, len(m) + 1), lambda i:
-               CASE WHEN ran[i] < m[i] AND (ran[i] * list_sum(m)) // greatest(m[i], 1) <= t
-                    THEN {{'due': ((ran[i] + 1) * list_sum(m) + m[i] - 1) // greatest(m[i], 1), 'i': i}} END), lambda x: x IS NOT NULL))[1].i AS p
-      FROM st WHERE list_sum(rest) > 0))),
-b AS (
-  SELECT slot, l.names[p] AS src, l.n[p] - rest[p] + ran[p] AS block
-  FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(m) + 1), lambda i:
-               CASE WHEN ran[i] < m[i] AND (ran[i] * list_sum(m)) // greatest(m[i], 1) <= t
-                    THEN {{'due': ((ran[i] + 1) * list_sum(m) + m[i] - 1) // greatest(m[i], 1), 'i': i}} END), lambda x: x IS NOT NULL))[1].i AS p
-        FROM st WHERE list_sum(rest) > 0), l)
-SELECT k.doc_id, k.source, CAST(b.block AS BIGINT) AS block, b.slot, row_number() OVER (ORDER BY b.slot, k.k) - 1 AS position
-FROM k JOIN b ON b.src = k.src AND b.block = k.k // {pfair.BLOCK_DOCS}
+  SELECT slot + 1, one, list_filter(todo, lambda y: y <> one) FROM (
+    SELECT slot, todo, list_sort(list_filter(todo, lambda y: y.r <= slot + 1))[1] AS one FROM st WHERE len(todo) > 0)),
+t AS (SELECT slot, pick.src AS src, pick.block AS block FROM st WHERE pick IS NOT NULL)
+SELECT k.doc_id, k.source, t.block, t.slot, row_number() OVER (ORDER BY t.slot, k.k) - 1 AS position
+FROM k JOIN t ON t.src = k.src AND t.block = k.k // (SELECT size FROM z)
 """
 
 
