@@ -40,9 +40,8 @@ HASHES, BANDS, ROWS = 128, 25, 4
 STEP, TOLERANCE = 16, 1e-6
 #: Classes of a bucket compared in one group.
 TILE = 1000
-#: Classes with copies or links up to which they are sent to every task, so
-#: that texts stay where they are; beyond it texts are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 4096
 _SEED = 20240229
 
 
@@ -52,10 +51,10 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None], (rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
 
-@lru_cache(64)
-def _powers(n: int) -> np.ndarray:
+@lru_cache(1)
+def _powers() -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate(([1], np.full(max(0, n - 1), 0x9E3779B97F4A7C15, dtype=np.uint64))).astype(np.uint64))
+        return np.cumprod(np.concatenate(([1], np.full(LONG_WORD - 1, 0x9E3779B97F4A7C15, dtype=np.uint64))).astype(np.uint64))
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -67,11 +66,19 @@ def word_hashes(raw: bytes) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
-    offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    longest = int(lengths.max())
-    with np.errstate(over="ignore"):
-        terms = data[inside].astype(np.uint64) * _powers(1 << max(6, (longest - 1).bit_length()))[offset]
-        return mix64(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    short = lengths < LONG_WORD
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        inside[starts[i] : ends[i]] = False
+    lengths = lengths[short]
+    if len(lengths):
+        firsts = np.cumsum(lengths) - lengths
+        offset = np.arange(lengths.sum()) - np.repeat(firsts, lengths)
+        with np.errstate(over="ignore"):
+            terms = data[inside].astype(np.uint64) * _powers()[offset]
+            out[short] = mix64(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64))
+    return out
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -268,8 +275,10 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def _verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Per group and class: links found there (rows of the partners' classes
     count) and the class's root in the group's forest of links."""
-    near = candidates.select("key").distinct().join(classes.select("key", "rep"), "key")
-    texts = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
+    # One text of each class, by its key: ids may be null, or one id may be on very
+    # many rows. Copies fall to one in each task before any text moves.
+    near = stored(candidates.select(F.col("key").alias("_key")).distinct(), "near")
+    texts = _with_key(docs.select("text")).join(near, "_key").groupBy(F.col("_key").alias("key")).agg(F.first("text").alias("text"))
     rows = candidates.join(texts, "key").join(classes.select("key", "copies"), "key")
     rows = clustered(rows, GROUP, ("place",))
     schema = "key binary, links long, root binary"
@@ -280,9 +289,7 @@ def _verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, thresh
         for group in runs(batches, GROUP):
             rows = {}
             for place, key, partners, text, copies in zip(*(group.column(c).to_pylist() for c in ("place", "key", "partners", "text", "copies"))):
-                # Of rows that share an id, only one with the class's words is it.
-                if place not in rows and class_key(text) == key:
-                    rows[place] = key, np.frombuffer(partners, dtype=np.int32), shingle_hashes(text), copies
+                rows[place] = key, np.frombuffer(partners, dtype=np.int32), shingle_hashes(text), copies
             members = [rows[i] for i in range(len(rows))]
             sets = [m[2] for m in members]
             left = np.repeat(np.arange(len(members)), [len(m[1]) for m in members])
@@ -365,8 +372,8 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     rows, special = _special_classes(docs, threshold)
     special = stored(special.select(F.col("key").alias("_key"), "rep", "keeper").withColumnsRenamed({"rep": "_rep", "keeper": "_keeper"}), "special")
-    few = special.count() <= BROADCAST_ROWS
-    joined = _with_key(docs).join(F.broadcast(special) if few else special, "_key", "left")
+    # Where Spark's limit in bytes allows, by its stored size, this table is sent to the texts.
+    joined = _with_key(docs).join(special, "_key", "left")
     kept = joined.where(F.col("_keeper").isNull() | (F.col("_keeper") & F.col("doc_id").eqNullSafe(F.col("_rep"))))
     same = rows.select("doc_id", F.col("key").alias("_key")).join(special.where("_keeper"), "_key").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
     twice = stored(same.groupBy("_key").count().where("count > 1").select("_key"), "twice")
