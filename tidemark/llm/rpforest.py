@@ -124,11 +124,6 @@ class Tree:
         return out
 
 
-def _vectors(column, width: np.dtype) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), dtype=width).reshape(len(data), -1)
-
-
 #: Ends the name of a leaf; that of a group of vectors ends with its length.
 _LEAF_NAME = re.compile(r"/\d+\.\d+$", re.ASCII)
 
@@ -187,7 +182,7 @@ def _route(rows: DataFrame, trees: dict[str, list[Tree]], width: str) -> DataFra
 
 def leaves_of(vectors: DataFrame, width: str) -> DataFrame:
     """(key, grp, copies, vec) in leaves: every vector in one leaf of each tree at least."""
-    done, current, stuck = None, vectors, set()
+    current, stuck, parts = vectors, set(), []
     for r in range(ROUNDS):
         sizes = stored(current.groupBy("grp").agg(F.count("*").alias("n")), "leaf-sizes")
         large = sizes.where((F.col("n") > (LARGE if r else LEAF)) & ~F.col("grp").isin(list(stuck)))
@@ -199,10 +194,15 @@ def leaves_of(vectors: DataFrame, width: str) -> DataFrame:
         if not trees:
             break
         split = F.broadcast(current.sparkSession.createDataFrame([(g,) for g in trees], "grp string"))
-        rest = current.join(split, "grp", "left_anti").select(*VECTOR)
-        routed = stored(_route(current.join(split, "grp", "left_semi"), trees, width), "leaves")
-        current = routed.unionByName(rest)
-    return current.select(*VECTOR)
+        # What is small enough is done; only the rest is written again.
+        names = large.select("grp")
+        parts.append(current.join(names, "grp", "left_anti").select(*VECTOR))
+        waiting = current.join(names, "grp", "left_semi").join(split, "grp", "left_anti").select(*VECTOR)
+        current = stored(_route(current.join(split, "grp", "left_semi"), trees, width).unionByName(waiting), "leaves")
+    out = current.select(*VECTOR)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 VECTOR = ("key", "grp", "copies", "vec")
