@@ -24,7 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +39,8 @@ PASSAGE, STRIDE = 128, 64
 QUESTION_OVERLAP, ANSWER_OVERLAP, SHINGLE = 0.8, 0.5, 5
 K1, B = 1.2, 0.75
 BLOCK = 4
+#: Sums of strides and blocks that a text has at once.
+SUMS = 4_000_000
 #: Items up to which one index is sent to the tasks, and bytes of their texts.
 PART_ITEMS, PART_BYTES = 20_000, 32 << 20
 _SENTENCE_END = re.compile(r"[.!?:]\s+(?=\S)|\n+")
@@ -136,12 +138,20 @@ class BlockMaxIndex:
         # Distinct terms of a stride; a passage is two strides.
         key = np.unique(place // STRIDE * len(self.term_id) + term)
         stride, term = key // len(self.term_id), key % len(self.term_id)
-        counts = self.starts[term + 1] - self.starts[term]
-        flat = np.repeat(self.starts[term] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        sums = np.bincount(np.repeat(stride, counts) * self.n_blocks + self.blocks[flat], self.bounds[flat], n * self.n_blocks).reshape(n, -1)
-        both = sums.copy()
-        both[:-1] += sums[1:]
-        return np.flatnonzero((both >= 1 - 1e-9).any(axis=1)).tolist()
+        found: list[int] = []
+        # Some strides at a time, so that a long text's sums stay small.
+        span = max(1, SUMS // self.n_blocks - 1)
+        for a in range(0, n, span):
+            lo, hi = np.searchsorted(stride, (a, a + span + 1))
+            if lo == hi:
+                continue
+            s, t, rows = stride[lo:hi] - a, term[lo:hi], min(span, n - a)
+            counts = self.starts[t + 1] - self.starts[t]
+            flat = np.repeat(self.starts[t] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            sums = np.bincount(np.repeat(s, counts) * self.n_blocks + self.blocks[flat], self.bounds[flat], (rows + 1) * self.n_blocks).reshape(rows + 1, -1)
+            both = sums[:-1] + sums[1:]
+            found += (a + np.flatnonzero((both >= 1 - 1e-9).any(axis=1))).tolist()
+        return found
 
     def search(self, words: Iterable[bytes]) -> list[int]:
         """Block-max WAND: every item whose impacts over the distinct words sum to 1."""
@@ -180,17 +190,20 @@ class BlockMaxIndex:
             for x in lists[: pivot + 1]:
                 x[1] = bisect_left(x[0][0], goal, x[1])
 
-    def verify(self, item: int, shingled: set, words: set) -> tuple[float, float] | None:
-        """Overlap of question and answer with the document, if both suffice."""
-        question, answer = map(word_bytes, self.parts[item])
-        runs = shingles(question) or shingles(answer)
-        n = len(next(iter(runs)))
-        # A question under five words is looked for as one run of its length.
-        have = shingled(n)
-        q = sum(r in have for r in runs) / len(runs)
-        a = sum(w in words for w in set(answer)) / len(set(answer)) if answer else 1.0
+    def verify(self, item: int, runs: set, words: set) -> tuple[float, float] | None:
+        """Overlap of question and answer with what of them the document holds,
+        if both suffice."""
+        wanted, said = self.runs_of(item), set(word_bytes(self.parts[item][1]))
+        q = len(wanted & runs) / len(wanted)
+        a = len(said & words) / len(said) if said else 1.0
         return (q, a) if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP else None
 
+    def runs_of(self, item: int) -> set[tuple[bytes, ...]]:
+        """Runs of the question that are looked for; a question under five words
+        is one run of its length."""
+        question, answer = map(word_bytes, self.parts[item])
+        return shingles(question) or shingles(answer)
+
     def match(self, text: str | None) -> list[tuple]:
         """(item id, question overlap, answer overlap) of all items in the text."""
         words = word_bytes(text)
@@ -199,15 +212,16 @@ class BlockMaxIndex:
         candidates = set(chain.from_iterable(self.search(words[p * STRIDE : p * STRIDE + PASSAGE]) for p in self.candidate_passages(words)))
         if not candidates:
             return []
-        cache: dict[int, set] = {}
-
-        def shingled(n: int) -> set:
-            if n not in cache:
-                cache[n] = shingles(words, n) if len(words) >= n else set()
-            return cache[n]
-
-        distinct = set(words)
-        checked = ((self.ids[i], self.verify(i, shingled, distinct)) for i in sorted(candidates))
+        # Only what the candidates ask for is kept of the document's runs.
+        wanted: dict[int, set] = defaultdict(set)
+        for i in candidates:
+            for run in self.runs_of(i):
+                wanted[len(run)].add(run)
+        runs: set = set()
+        for n, own in wanted.items():
+            runs |= own.intersection(zip(*(islice(words, k, None) for k in range(n))))
+        distinct = set().union(*(word_bytes(self.parts[i][1]) for i in candidates)).intersection(words)
+        checked = ((self.ids[i], self.verify(i, runs, distinct)) for i in sorted(candidates))
         return [(i, *v) for i, v in checked if v]
 
 
@@ -269,7 +283,8 @@ def _over(slim: DataFrame, part: tuple, schema: T.StructType) -> DataFrame:
 def flagged_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document (id) with leaks: its items and best overlap.
 
-    The number of items of a document is at most that of the benchmark.
+    The number of items of a document is at most that of the benchmark. Rows
+    of one id, and those with a null id, are one document here.
     """
     leaks = find_leaks(docs, benchmark)
     return leaks.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("question").alias("question_overlap"), F.max("answer").alias("answer_overlap"))
