@@ -52,6 +52,8 @@ FREEDOM = {
     "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "proprietary": 0.0,
 }
 TAG = "spdx license identifier"
+#: How sure a tag is that names a known licence, or only an unknown word.
+TAG_SURE, UNKNOWN_SURE = 1.0, 0.3
 _TAG_LINE = re.compile(r"SPDX-License-Identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
 _PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -120,6 +122,10 @@ def freedom(label: str) -> float:
     return FREEDOM.get(label, FREEDOM.get(re.sub(r"-\d+$", "", label), 0.0))
 
 
+def known(label: str) -> bool:
+    return label in FREEDOM or re.sub(r"-\d+$", "", label) in FREEDOM
+
+
 def evaluate(expression: str) -> tuple[set[str], float]:
     """Labels that the expression names, and how free its terms are."""
     stack: list[tuple[set[str], float]] = []
@@ -153,9 +159,12 @@ class LicenseScanner:
         words = word_bytes(text)
         joined = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
         places, base_labels, labels, sure, value, tagged = [], set(), set(), 0.0, None, False
+        # Hits come by their end: blanks are counted on from the last one.
+        blanks = upto = 0
         for end, (phrase, n) in self.automaton.iter(joined) if joined else ():
             if phrase in self.base:
-                places.append(joined.count(" ", 0, end) - n)
+                blanks, upto = blanks + joined.count(" ", upto, end), end
+                places.append(blanks - n)
                 base_labels.add(self.base[phrase])
                 sure = max(sure, 0.9)
             elif phrase == TAG:
@@ -175,7 +184,8 @@ class LicenseScanner:
             except ExpressionError:
                 continue
             labels |= named
-            sure, value = 1.0, free if value is None else min(value, free)
+            sure = max(sure, TAG_SURE if any(map(known, named)) else UNKNOWN_SURE)
+            value = free if value is None else min(value, free)
         first, last = (min(places), max(places)) if places else (None, None)
         return len(words), len(places), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), sure, value
 
