@@ -13,8 +13,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -151,17 +153,25 @@ class SecretScanner:
         if b"AKIA" in raw:
             spans += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         ascii_only = len(raw) == len(text)
-        points = (lambda i: i) if ascii_only else (lambda i: len(raw[:i].decode("utf-8", "surrogatepass")))
-        for start, end in runs(raw, _IS_HEX, HEX_LEAST):
-            at = points(start)
-            spans.append(("hex", at, at + end - start))
-        base = list(spans)
-        for start, end in runs(raw, _IS_TOKEN, TOKEN_LEAST):
-            token = raw[start:end].decode()
-            at = points(start)
-            inside = any(a <= at and at + end - start <= b or at <= a and b <= at + end - start for _, a, b in base)
-            if not inside and self.ratio(token) >= self.threshold:
-                spans.append(("markov", at, at + end - start))
+
+        def pointed(found: list[tuple[int, int]]) -> Iterable[tuple[int, int, int]]:
+            """Code point and byte bounds of runs, counted on from run to run."""
+            point = byte = 0
+            for start, end in found:
+                point += start - byte if ascii_only else len(raw[byte:start].decode("utf-8", "surrogatepass"))
+                byte = start
+                yield point, start, end
+
+        spans += [("hex", at, at + end - start) for at, start, end in pointed(runs(raw, _IS_HEX, HEX_LEAST))]
+        base = sorted((a, b) for _, a, b in spans)
+        starts, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        for at, start, end in pointed(runs(raw, _IS_TOKEN, TOKEN_LEAST)):
+            stop = at + end - start
+            # A run that lies in a pattern's span, or holds one, is taken already.
+            first, last = bisect_left(starts, at), bisect_right(starts, at)
+            covered = last and furthest[last - 1] >= stop
+            if not covered and not any(b <= stop for _, b in base[first : bisect_left(starts, stop)]) and self.ratio(raw[start:end].decode()) >= self.threshold:
+                spans.append(("markov", at, stop))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
