@@ -14,6 +14,7 @@ counts its own batches, Spark sums them by language and n-gram, and only
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PROFILE_SIZE = 400
-#: Languages that a model can hold; the profiles of more would be too large to send.
-MOST_LANGUAGES = 2000
+#: Characters of a long text whose n-grams are made at once.
+PIECE = 1 << 20
 #: Code points, or distinct n-grams, of a language that a task holds before it sums, or sends, them.
 COUNT_CODES = 500_000
 UNDETERMINED = "und"
 _BITS = 21
 _BLANK = 32
+_SPACE = re.compile(r"\s")
 
 
 @lru_cache(1)
@@ -56,9 +58,31 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return np.concatenate((codes[codes != _BLANK], two, three))
 
 
+def pieces(text: str) -> Iterable[str]:
+    """A long text in pieces that end behind white space; they have the same
+    n-grams together, as a blank stands around every word."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = _SPACE.search(text, at + PIECE)
+        if not cut:
+            break
+        yield text[at : cut.end()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate((a[1], b[1]))).astype(np.int64)
+
+
 def document_profile(text: str | None, size: int = PROFILE_SIZE) -> np.ndarray:
     """The most frequent n-grams of a whole text, ties by code; empty if no letter."""
-    grams, counts = np.unique(_grams(_codes(text or "")), return_counts=True)
+    total = None
+    for piece in pieces(text or ""):
+        own = np.unique(_grams(_codes(piece)), return_counts=True)
+        total = own if total is None else _merged(total, own)
+    grams, counts = total
     order = np.argsort(-counts, kind="stable")[:size]
     return grams[order]
 
@@ -77,12 +101,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
             # Each text ends and starts with a blank: joined texts make no other n-gram.
             codes = waiting.pop(lang)
             joined = np.concatenate([c if i == 0 else c[1:] for i, c in enumerate(codes)])
-            grams, n = np.unique(_grams(joined), return_counts=True)
-            if lang in sums:
-                every = np.concatenate((sums[lang][0], grams))
-                grams, at = np.unique(every, return_inverse=True)
-                n = np.bincount(at, np.concatenate((sums[lang][1], n))).astype(np.int64)
-            sums[lang] = grams, n
+            own = np.unique(_grams(joined), return_counts=True)
+            sums[lang] = _merged(sums[lang], own) if lang in sums else own
             sizes[lang] = 0
 
         def rows_of(lang: str):
@@ -93,13 +113,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not text.is_valid:
                     continue
-                codes = _codes(text.as_py())
-                waiting.setdefault(lang, []).append(codes)
-                sizes[lang] = sizes.get(lang, 0) + len(codes)
-                if sizes[lang] >= COUNT_CODES:
-                    summed(lang)
-                    if len(sums[lang][0]) >= COUNT_CODES:
-                        yield rows_of(lang)
+                for codes in map(_codes, pieces(text.as_py())):
+                    waiting.setdefault(lang, []).append(codes)
+                    sizes[lang] = sizes.get(lang, 0) + len(codes)
+                    if sizes[lang] >= COUNT_CODES:
+                        summed(lang)
+                        if len(sums[lang][0]) >= COUNT_CODES:
+                            yield rows_of(lang)
         for lang in list(waiting):
             summed(lang)
         for lang in list(sums):
@@ -114,19 +134,27 @@ class LanguageModel:
 
     def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE_SIZE):
         self.languages, self.size = sorted(profiles), size
-        self.grams = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
-        self.ranks = np.full((len(self.grams) + 1, max(1, len(self.languages))), size, dtype=np.int32)
-        for k, lang in enumerate(self.languages):
-            at = np.searchsorted(self.grams, np.array(profiles[lang], dtype=np.int64))
-            self.ranks[at, k] = np.arange(len(at))
+        # Postings by n-gram: which languages hold it, at which rank.
+        grams = np.concatenate([np.zeros(0, np.int64), *(np.array(profiles[x], dtype=np.int64) for x in self.languages)])
+        owner = np.repeat(np.arange(len(self.languages)), [len(profiles[x]) for x in self.languages])
+        rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(profiles[x])) for x in self.languages)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.append(starts, len(grams))
+        self.owner, self.rank = owner[order].astype(np.int32), rank[order].astype(np.int32)
 
     def distances(self, profile: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.grams, profile)
-        at[at == len(self.grams)] = 0
-        known = self.grams[at] == profile if len(self.grams) else np.zeros(len(profile), bool)
-        own = np.arange(len(profile), dtype=np.int32)[:, None]
-        ranks = self.ranks[np.where(known, at, len(self.grams))]
-        return np.where(ranks == self.size, self.size, np.abs(ranks - own)).sum(axis=0)
+        """Out-of-place distance to each language: the full length for every
+        n-gram, less what a language that holds it is nearer."""
+        whole = np.full(len(self.languages), len(profile) * self.size, dtype=np.int64)
+        if not len(self.grams):
+            return whole
+        at = np.minimum(np.searchsorted(self.grams, profile), len(self.grams) - 1)
+        own = np.flatnonzero(self.grams[at] == profile)
+        counts = self.starts[at[own] + 1] - self.starts[at[own]]
+        flat = np.repeat(self.starts[at[own]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        nearer = self.size - np.abs(self.rank[flat] - np.repeat(own, counts))
+        return whole - np.bincount(self.owner[flat], nearer, len(self.languages)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float, float | None]:
         """Language, confidence from 0 to 1, and mean distance from 0 to 1."""
@@ -145,10 +173,8 @@ def train(rows: DataFrame, size: int = PROFILE_SIZE) -> LanguageModel:
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = count_grams(rows.where("lang IS NOT NULL")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}
-    for r in kept.orderBy("lang", "rank").limit(MOST_LANGUAGES * size + 1).collect():
+    for r in kept.orderBy("lang", "rank").toLocalIterator():
         profiles.setdefault(r.lang, []).append(r.gram)
-    if len(profiles) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return LanguageModel(profiles, size)
 
 
