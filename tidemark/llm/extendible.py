@@ -21,8 +21,8 @@ from .common import stored
 
 HASH_BITS = 52  # of the md5 that any SQL engine can take as a number
 ROUND_BITS = 13
-#: Directory rows up to which the directory is sent to every task.
-BROADCAST_ROWS = 200_000
+#: Bytes of the stored directory (40 a row) up to which it is sent to every task.
+BROADCAST_BYTES = 8 << 20
 #: Depths up to which the look-up is a chain of broadcast joins.
 CHAIN_DEPTHS = 8
 ADDED = ("shard", "depth", "n_bytes", "shard_bytes")
@@ -79,7 +79,7 @@ def _leaf_of(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     counts = {r.depth: r["count"] for r in leaves.groupBy("depth").count().collect()}
     prefix = lambda d: F.shiftrightunsigned("h", HASH_BITS - d)
-    if sum(counts.values()) <= BROADCAST_ROWS and len(counts) <= CHAIN_DEPTHS:
+    if 40 * sum(counts.values()) <= BROADCAST_BYTES and len(counts) <= CHAIN_DEPTHS:
         for d in sorted(counts):
             part = leaves.where(F.col("depth") == d).select(F.col("prefix").alias(f"_p{d}"), F.struct("depth", "prefix", "bucket_bytes").alias(f"_leaf{d}"))
             rows = rows.withColumn(f"_p{d}", prefix(d)).join(F.broadcast(part), f"_p{d}", "left").drop(f"_p{d}")
@@ -130,5 +130,9 @@ def assign_shards(docs: DataFrame, limit: int, *, keep: list[str] | None = None)
 
 
 def write_shards(docs: DataFrame, limit: int, folder: str) -> None:
-    """Write ``docs`` as one Parquet folder a shard below ``folder``."""
-    assign_shards(docs, limit).write.partitionBy("shard").parquet(folder)
+    """Write ``docs`` as one Parquet folder a shard below ``folder``, rows by
+    their ``position`` in the mix where they have one."""
+    placed = assign_shards(docs, limit)
+    if "position" in placed.columns:
+        placed = placed.repartition("shard").sortWithinPartitions("shard", "position")
+    placed.write.partitionBy("shard").parquet(folder)
