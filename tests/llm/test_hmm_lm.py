@@ -91,7 +91,7 @@ def test_class_totals_cover_the_training_words(spark):
 
 
 def test_empty_and_untrained(spark):
-    docs = spark.createDataFrame([(5, "held out"), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "held out"), (None, None)], "doc_id long, text string")
     got = {r.n_tokens: r for r in H.score_texts(docs, 2, 1).collect()}
     assert got[3].train_tokens == 0 and got[3].n_known == 0 and got[3].base_score == 0
     assert H.score_texts(docs.limit(0), 2, 1).count() == 0

@@ -23,8 +23,10 @@ def test_stages_match_brute_force(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[:5] == docs.columns
     assert sorted((r.doc_id, r.n_bytes, r.depth, r.shard_bytes) for r in got.collect()) == sorted((i, b, leaf[h][0], leaf[h][2]) for i, (h, b) in zip(kept, items))
+    # The mixing order reaches the result, and the shards.
+    assert [r.doc_id for r in sorted(got.collect(), key=lambda r: r.position)] == brute_mix([(i, rows[i].source) for i in kept])
     mixed = pfair.mixed(docs)
-    assert [r.doc_id for r in mixed.collect()] == brute_mix([(i, r.source) for i, r in rows.items()], None, pfair.BLOCK_DOCS, pfair.PERIOD)
+    assert [r.doc_id for r in mixed.collect()] == brute_mix([(i, r.source) for i, r in rows.items()])
 
 
 def test_stages_and_registration():
