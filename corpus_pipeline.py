@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, extendible, langid, ngram_join, pfair
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import stored, table, with_file_order
 
 SHARD_BYTES = 32 << 20
 
@@ -36,8 +36,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard that each belongs to."""
-    return extendible.assign_shards(docs, SHARD_BYTES)
+    """All documents with the shard that each belongs to, and their place in
+    the mix (``position``): the order of the files and rows that the stage
+    before it wrote. Shards are to be written in that order."""
+    return extendible.assign_shards(with_file_order(docs, "position"), SHARD_BYTES)
 
 
 STAGES = [
