@@ -278,7 +278,8 @@ def _verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, thresh
     # One text of each class, by its key: ids may be null, or one id may be on very
     # many rows. Copies fall to one in each task before any text moves.
     near = stored(candidates.select(F.col("key").alias("_key")).distinct(), "near")
-    texts = _with_key(docs.select("text")).join(near, "_key").groupBy(F.col("_key").alias("key")).agg(F.first("text").alias("text"))
+    # The join is by shuffle at any size: a plan that is measured small holds large.
+    texts = _with_key(docs.select("text")).join(near.hint("merge"), "_key").groupBy(F.col("_key").alias("key")).agg(F.first("text").alias("text"))
     rows = candidates.join(texts, "key").join(classes.select("key", "copies"), "key")
     rows = clustered(rows, GROUP, ("place",))
     schema = "key binary, links long, root binary"
@@ -372,8 +373,8 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """
     rows, special = _special_classes(docs, threshold)
     special = stored(special.select(F.col("key").alias("_key"), "rep", "keeper").withColumnsRenamed({"rep": "_rep", "keeper": "_keeper"}), "special")
-    # Where Spark's limit in bytes allows, by its stored size, this table is sent to the texts.
-    joined = _with_key(docs).join(special, "_key", "left")
+    # By shuffle at any size, so that what is measured small holds large.
+    joined = _with_key(docs).join(special.hint("merge"), "_key", "left")
     kept = joined.where(F.col("_keeper").isNull() | (F.col("_keeper") & F.col("doc_id").eqNullSafe(F.col("_rep"))))
     same = rows.select("doc_id", F.col("key").alias("_key")).join(special.where("_keeper"), "_key").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
     twice = stored(same.groupBy("_key").count().where("count > 1").select("_key"), "twice")
