@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from tidemark.llm import hmm_lm as H
 
@@ -75,9 +77,14 @@ def test_training_raises_likelihood_and_beats_the_base(spark):
     rows = H.score_texts(docs).collect()
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # Words with states of their own do better than their classes alone.
+    classes = H.score_texts(docs, iterations=H.ITERATIONS + H.WORD_ITERATIONS, word_iterations=0).collect()
+    for part in (True, False):
+        assert sum(r.score for r in rows if r.held_out == part) > sum(r.score for r in classes if r.held_out == part)
     numbered = H._numbered(docs, 4)
-    sequences, _ = H._sequences(numbered, H._counted(numbered, H._own_words(numbered)), docs.schema["doc_id"])
-    _, history = H.baum_welch(sequences.where("train"), 4)
+    counted = H._counted(numbered, H._own_words(numbered))
+    tables = H.Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    _, _, history = H.baum_welch(H._documents(numbered).where("train"), tables, 4)
     assert all(b > a for a, b in zip(history, history[1:]))
 
 
@@ -95,3 +102,57 @@ def test_empty_and_untrained(spark):
     got = {r.n_tokens: r for r in H.score_texts(docs, 2, 1).collect()}
     assert got[3].train_tokens == 0 and got[3].n_known == 0 and got[3].base_score == 0
     assert H.score_texts(docs.limit(0), 2, 1).count() == 0
+
+
+def by_word(numbered, tables, states):
+    """{word: training count, class, P(z|word)}, read back from the tables."""
+    open_, words = zstandard.ZstdDecompressor().decompress, {}
+    for r in numbered.where("kind = 'words'").select("block").distinct().collect():
+        table = tables.read(r.block, states)
+        parts = numbered.where((F.col("kind") == "words") & (F.col("block") == r.block)).orderBy("bucket").collect()
+        names = [w for p in parts for w in open_(p.data).split(b"\n")]
+        assert len(names) == len(table.counts)
+        words.update(zip(names, zip(table.counts.tolist(), table.classes.tolist(), table.states)))
+    return words
+
+
+def test_rare_words_of_one_class_have_their_own_states(spark):
+    # "xing" and "ying" share their suffix class; one stands by "a", one by "b".
+    docs = spark.createDataFrame([(i, "a xing " * 8 if i % 2 else "b ying " * 8) for i in range(200)], "doc_id long, text string")
+    numbered = H._numbered(docs, 3)
+    counted = H._counted(numbered, [b"a", b"b"])
+    vocabulary = H.Vocabulary(numbered, counted)
+    tables = H.Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    prior = np.full((H.CLASSES, 2), 0.5)
+    prior[1:3] = [0.9, 0.1], [0.1, 0.9]
+    states = H.States(H.HMM(np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]]), np.full((2, H.CLASSES), 1 / H.CLASSES)), prior, np.full(2, 0.5))
+    found, tables = H._word_iteration(H._documents(numbered).where("train"), counted, states, tables, vocabulary)
+    words = by_word(numbered, tables, 2)
+    (_, c, x), (_, d, y) = words[b"xing"], words[b"ying"]
+    assert c == d == H.suffix_class(b"xing")
+    assert x[0] > 0.9 and y[1] > 0.9
+    # All words, an unseen one of each class and the end sum to 1 in each state.
+    total = vocabulary.class_share[H.END] * found.prior[H.END] + vocabulary.unseen[1:] @ found.prior[1:]
+    total = total + sum(vocabulary.word_share(n, k) * s for n, k, s in words.values() if n)
+    assert np.allclose(total / found.mass, 1, atol=1e-5)
+    assert vocabulary.class_share.sum() == pytest.approx(1)
+
+
+def test_score_is_the_sum_over_paths_of_words(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b a c", "c a", "a", "b b a", "new a"])], "doc_id long, text string")
+    numbered = H._numbered(docs, 3)
+    counted = H._counted(numbered, H._own_words(numbered))
+    vocabulary = H.Vocabulary(numbered, counted)
+    found, tables = H.trained(H._documents(numbered).where("train"), counted, vocabulary, 2, 2, 2)
+    words = by_word(numbered, tables, 2)
+    for r in H.score_texts(docs, 2, 2, 2).collect():
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text.encode().split()
+        rows = [vocabulary.word_share(words[w][0], words[w][1]) * words[w][2] / found.mass for w in text]
+        rows.append(vocabulary.word_share(vocabulary.ends, H.END) * found.prior[H.END] / found.mass)
+        total = 0.0
+        for path in itertools.product(range(2), repeat=len(rows)):
+            p = found.moves.start[path[0]] * rows[0][path[0]]
+            for t in range(1, len(path)):
+                p *= found.moves.move[path[t - 1], path[t]] * rows[t][path[t]]
+            total += p
+        assert r.score == pytest.approx(math.log10(total), abs=1e-5)

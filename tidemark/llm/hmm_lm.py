@@ -1,19 +1,25 @@
 """Hidden Markov language model with exact sequence likelihoods.
 
-A text is its lower-case words and one end token. Each token belongs to an
-emission class: the end, each of the most frequent words, or one of a few
-classes by the word's last bytes. Latent states emit classes, a class emits
-its tokens by their smoothed training counts::
-
-    P(text) = sum over state paths of  prod P(z|z') P(class|z) P(token|class)
-
-Token counts cover every training token. Tasks number the words of blocks
-of documents, so only a block's distinct words move: they are counted by
-word hash, and the counts come back to the block, where each document
-becomes its class sequence. Baum-Welch then runs on those: each task adds up
-expected counts of whole sequences, Spark sums them over partitions, and the
-driver holds only the model (states x classes). Scoring is the scaled
-forward recursion over each whole sequence.
+A text is its lower-case words and one end token. Latent states emit words,
+each word with probabilities of its own::
+
+    P(text) = sum over state paths of  prod P(z|z') P(word|z)
+    P(word|z) = P(z|word) P(word) / P(z)
+
+``P(z|word)`` is the word's expected count in state z over all its training
+places, drawn towards the share of the word's class by ``DRAWN`` counts; a
+word without training places has its class's. Classes (the end, each of the
+most frequent words, others by their last bytes) are also what the first
+iterations train, as those find the states on few numbers.
+
+Tasks number the words of blocks of documents, so only a block's distinct
+words move, never its documents: they are counted by word hash, and the
+counts come back as a table of the block in the shared folder. Baum-Welch
+then runs over blocks. Each task adds up expected counts of whole sequences;
+those of starts, moves and classes are summed to the driver (states x
+classes), those of words by word hash, and the new probabilities become the
+block's next table. Scoring is the scaled forward recursion over each whole
+sequence.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import arrow_fs, shared_dir, stored
 from .groups import arrow_schema, clustered, record_batch, runs
 
-STATES, ITERATIONS = 6, 4
+#: Iterations of Baum-Welch over classes, and then over words.
+STATES, ITERATIONS, WORD_ITERATIONS = 6, 3, 2
 #: Words with a class of their own: at most so many, each at least this
 #: share of the training tokens. Other words share the suffix classes.
 OWN_WORDS, OWN_SHARE, SUFFIX_CLASSES, SUFFIX_BYTES = 180, 0.001, 75, 3
@@ -39,6 +46,8 @@ END = 0
 #: Bytes of text whose words a task numbers at once, and tokens it runs at once.
 BLOCK_BYTES, BATCH_TOKENS = 24 << 20, 300_000
 SMOOTH = 0.01
+#: Counts by which a word's states are drawn towards those of its class.
+DRAWN = 5.0
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -55,7 +64,11 @@ def suffix_class(word: bytes) -> int:
 
 
 class HMM:
-    """Start, transition and emission probabilities over classes."""
+    """Start, transition and emission probabilities over classes.
+
+    ``emissions`` of its methods, a row of states for each symbol, take the
+    place of the classes' where symbols are others.
+    """
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -67,7 +80,7 @@ class HMM:
         emit *= 1 + 3 * (rng.random(emit.shape) < 0.3)
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
-    def forward(self, sequences: list[np.ndarray], keep: bool = False):
+    def forward(self, sequences: list[np.ndarray], keep: bool = False, emissions: np.ndarray | None = None):
         """Scaled forward recursion of sequences in falling length.
 
         Returns their log-likelihoods and, with ``keep``, what the backward
@@ -78,10 +91,10 @@ class HMM:
         active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
         starts = np.concatenate(([0], np.cumsum(active)))
         # Tokens step by step: all first ones, all second ones, and so on.
-        at = np.empty(starts[-1], dtype=np.uint8)
+        at = np.empty(starts[-1], dtype=np.uint8 if emissions is None else np.int32)
         for i, s in enumerate(sequences):
             at[starts[: len(s)] + i] = s
-        emitted = self.emit.T.copy()[at]
+        emitted = (self.emit.T.copy() if emissions is None else emissions)[at]
         logs = np.zeros(len(sequences))
         alphas, scales = emitted, np.empty(starts[-1])
         before = None
@@ -98,13 +111,13 @@ class HMM:
             logs[: active[t]] += scales[starts[t] : starts[t + 1]]
         return (logs, (alphas, np.exp(scales), at, starts, active)) if keep else logs
 
-    def expected(self, sequences: list[np.ndarray]) -> np.ndarray:
+    def expected(self, sequences: list[np.ndarray], emissions: np.ndarray | None = None) -> np.ndarray:
         """Expected counts of one Baum-Welch step: start, moves, emissions, log-likelihood."""
         k = len(self.start)
-        logs, (alphas, scales, at, starts, active) = self.forward(sequences, keep=True)
+        logs, (alphas, scales, at, starts, active) = self.forward(sequences, True, emissions)
         gammas = np.empty_like(alphas)
         moves = np.zeros((k, k))
-        emitted = self.emit.T.copy()
+        emitted = self.emit.T.copy() if emissions is None else emissions
         after = None
         for t in range(len(active) - 1, -1, -1):
             a, b = starts[t], starts[t + 1]
@@ -115,9 +128,9 @@ class HMM:
                 beta[:n] = after @ self.move.T
             gammas[a:b] = alphas[a:b] * beta
             after = emitted[at[a:b]] * beta / scales[a:b, None]
-        emissions = np.stack([np.bincount(at, gammas[:, s], self.emit.shape[1]) for s in range(k)])
+        emission = np.stack([np.bincount(at, gammas[:, s], len(emitted)) for s in range(k)])
         first = gammas[: active[0]].sum(axis=0) if len(active) else np.zeros(k)
-        return np.concatenate((first, (moves * self.move).ravel(), emissions.ravel(), [logs.sum()]))
+        return np.concatenate((first, (moves * self.move).ravel(), emission.ravel(), [logs.sum()]))
 
     def updated(self, counts: np.ndarray) -> tuple[HMM, float]:
         """The model that maximises the expected counts, and the log-likelihood before."""
@@ -299,12 +312,13 @@ def _block_tokens(docs: DataFrame) -> DataFrame:
 def _counted(numbered: DataFrame, own: list[bytes]) -> DataFrame:
     """Training counts of all words, back in their blocks.
 
-    Rows of kind ``counts``: block, bucket, counts (int64) and classes of the
-    bucket's words in order. Rows of kind ``total``: class in ``bucket``,
-    ``n`` training tokens and ``v`` distinct ones.
+    Rows of kind ``counts``: block, bucket, counts (int64), classes and
+    places among the bucket's words (int32), all of the block's words in that
+    bucket in order. Rows of kind ``total``: class in ``bucket``, ``n``
+    training tokens and ``v`` distinct ones.
     """
     words = clustered(numbered.where("kind = 'words'").select("bucket", "block", "data", "counts"), ["bucket"], ("block",))
-    schema = "kind string, block long, bucket int, counts binary, classes binary, n long, v long"
+    schema = "kind string, block long, bucket int, counts binary, classes binary, places binary, n long, v long"
     target = arrow_schema(schema)
     class_of = {w: i + 1 for i, w in enumerate(own)}
 
@@ -324,105 +338,247 @@ def _counted(numbered: DataFrame, own: list[bytes]) -> DataFrame:
             for i, n in zip(ids, pieces):
                 totals[i] += n  # a block names a word once
             classes = np.fromiter((class_of.get(w) or suffix_class(w) for w in number), dtype=np.uint8, count=len(number))
-            rows = [("counts", block, bucket, squeeze(totals[i].tobytes()), squeeze(classes[i].tobytes()), None, None) for block, i in zip(blocks, ids)]
+            rows = [("counts", block, bucket, squeeze(totals[i].tobytes()), squeeze(classes[i].tobytes()), squeeze(i.astype(np.int32).tobytes()), None, None) for block, i in zip(blocks, ids)]
             seen = totals > 0
             n, v = np.bincount(classes, totals, CLASSES).astype(np.int64), np.bincount(classes[seen], minlength=CLASSES)
-            rows += [("total", None, c, None, None, int(n[c]), int(v[c])) for c in np.flatnonzero(v).tolist()]
+            rows += [("total", None, c, None, None, None, int(n[c]), int(v[c])) for c in np.flatnonzero(v).tolist()]
             yield record_batch(rows, target)
 
     return stored(words.mapInArrow(run, schema), "counts")
 
 
-def _sequences(numbered: DataFrame, counted: DataFrame, id_field: T.StructField) -> tuple[DataFrame, int]:
-    """Each document's class sequence and what needs only token counts."""
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counted.where("kind = 'total'").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        n[r.bucket], v[r.bucket] = r.n, r.v
-    n[END] = ends = numbered.where("kind = 'doc' AND train").count()
-    v[END] = float(ends > 0)
-    tokens, distinct = int(n.sum()), int(v.sum())
-    # One more than the distinct tokens of a class: the share of unseen ones.
-    own = np.log10(n + v + 1)
-    base = np.log10(tokens + distinct + 1)
-    parts = numbered.where("kind = 'doc'").select("block", F.lit(1).alias("order"), F.lit(0).alias("bucket"), "doc_id", "held", "train", "data", F.lit(None).cast("binary").alias("classes"))
-    tables = counted.where("kind = 'counts'").select("block", F.lit(0).alias("order"), "bucket", F.lit(None).cast(id_field.dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("boolean").alias("train"), F.col("counts").alias("data"), "classes")
-    rows = clustered(tables.unionByName(parts), ["block"], ("order", "bucket"))
-    schema = T.StructType([id_field, *T.StructType.fromDDL("held_out boolean, train boolean, n_tokens long, n_known long, base_score double, word_score double, classes binary").fields])
-    target = _arrow(schema)
+class Vocabulary:
+    """What needs only training counts: totals, and by class what a word's
+    probability is made of."""
 
-    def run(batches):
+    def __init__(self, numbered: DataFrame, counted: DataFrame):
+        n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+        for r in counted.where("kind = 'total'").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+            n[r.bucket], v[r.bucket] = r.n, r.v
+        n[END] = self.ends = numbered.where("kind = 'doc' AND train").count()
+        v[END] = float(self.ends > 0)
+        self.tokens, self.distinct = int(n.sum()), int(v.sum())
+        self.class_share = (n + SMOOTH) / (n + SMOOTH).sum()
+        # All unseen words of a class are one more of its distinct words.
+        self.unseen = self.class_share / (n + v + 1)
+        self.log_base = np.log10(self.tokens + self.distinct + 1)
+
+    def word_share(self, counts, classes):
+        """P(word) of words with so many training places."""
+        return (counts + 1) * self.unseen[classes]
+
+
+class States:
+    """The moves between states, and which states a word is in.
+
+    ``prior`` is P(z|class) and ``mass`` P(z). A word's emissions are
+    P(z|word) / P(z); P(word) is the same in all states and stands outside.
+    """
+
+    def __init__(self, moves: HMM, prior: np.ndarray, mass: np.ndarray):
+        self.moves, self.prior, self.mass = moves, prior, mass
+
+    @classmethod
+    def of_classes(cls, model: HMM, counts: np.ndarray | None, vocabulary: Vocabulary) -> States:
+        """All words as their class, whose expected counts ``counts`` holds."""
+        k, c = model.emit.shape
+        by_class = model.emit if counts is None else counts[k + k * k : -1].reshape(k, c) + SMOOTH
+        prior = (by_class / by_class.sum(axis=0)).T
+        return cls(model, prior, vocabulary.class_share @ prior)
+
+    def of_words(self, counts: np.ndarray, vocabulary: Vocabulary, seen: np.ndarray) -> States:
+        """After an iteration over words; ``seen`` sums P(word) P(z|word) over words with training places."""
+        k = len(self.mass)
+        start, move = counts[:k] + SMOOTH, counts[k : k + k * k].reshape(k, k) + SMOOTH
+        moves = HMM(start / start.sum(), move / move.sum(axis=1, keepdims=True), self.moves.emit)
+        return States(moves, self.prior, seen + vocabulary.unseen[1:] @ self.prior[1:] + vocabulary.class_share[END] * self.prior[END])
+
+    def emissions(self, table: Table) -> np.ndarray:
+        """A row for each word of the table, and one for the end."""
+        return np.concatenate((self.prior[table.classes] if table.states is None else table.states, self.prior[END:1])) / self.mass
+
+
+# ---------------------------------------------------------------- tables of blocks
+
+
+class Table:
+    """A block's words: training counts, classes and, from the first iteration
+    over words on, P(z|word); ``cuts`` are the first words of ``buckets``."""
+
+    def __init__(self, rows: list[dict], states: int):
         import zstandard
 
-        open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        for group in runs(batches, ["block"]):
-            order = group.column("order").to_numpy()
-            cut = int(np.searchsorted(order, 1))
-            table = group.slice(0, cut)
-            counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(open_(x), np.int64) for x in table.column("data").to_pylist())])
-            classes = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(open_(x), np.uint8) for x in table.column("classes").to_pylist())])
-            known = counts > 0
-            log_count = np.log10(counts + 1)
-            log_own = log_count - own[classes]
-            end_known = ends > 0
-            end_base, end_own = np.log10(ends + 1) - base, np.log10(ends + 1) - own[END]
-            docs, out = group.slice(cut), []
-            for doc_id, held, train, data in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held", "train", "data"))):
-                ids = np.frombuffer(open_(data), dtype=np.int32)
-                sequence = np.append(classes[ids], np.uint8(END))
-                out.append((doc_id, held, train, len(ids) + 1, int(known[ids].sum()) + end_known, float(log_count[ids].sum() - base * len(ids) + end_base), float(log_own[ids].sum() + end_own), squeeze(sequence.tobytes())))
-                if len(out) == 5000:
-                    yield record_batch(out, target)
-                    out = []
-            if out:
-                yield record_batch(out, target)
-
-    return stored(rows.mapInArrow(run, schema), "sequences"), tokens
-
-
-# ---------------------------------------------------------------- training and scoring
-
-
-def _opened(column) -> list[np.ndarray]:
+        open_ = zstandard.ZstdDecompressor().decompress
+
+        def laid(column, kind):
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(open_(r[column]), kind) for r in rows)])
+
+        self.counts, self.classes = laid("counts", np.int64), laid("classes", np.uint8)
+        self.buckets = [r["bucket"] for r in rows]
+        self.cuts = np.cumsum([0, *(zstandard.frame_content_size(r["classes"]) for r in rows)])
+        in_words = bool(rows) and rows[0]["states"] is not None
+        self.states = laid("states", np.float32).reshape(-1, states).astype(np.float64) if in_words else None
+
+
+class Tables:
+    """The tables of all blocks in a folder that all executors share.
+
+    A block's rows lie in the folder of its home, in order, and tasks read
+    them from there by the row groups' bounds. So documents stay where they
+    are while the tables change from iteration to iteration.
+    """
+
+    COLUMNS = ("block", "bucket", "counts", "classes", "states")
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        self.path, self.homes = shared_dir(spark, "word-tables"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Blocks of a task have its number above bit 32.
+        home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(self.homes)).cast("int")
+        placed = rows.select(*self.COLUMNS).withColumn("home", home)
+        clustered(placed, ["home"], ("block", "bucket")).write.partitionBy("home").option("parquet.block.size", 8 << 20).parquet(self.path)
+
+    def read(self, block: int, states: int) -> Table:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        files, root = arrow_fs(self.path)
+        home = ((block >> 32) + (block & (1 << 32) - 1)) % self.homes
+        found = files.get_file_info(fs.FileSelector(f"{root}/home={home}", allow_not_found=True))
+        names = [f.path for f in found if f.path.endswith(".parquet")]
+        if not names:
+            return Table([], states)
+        rows = ds.dataset(names, format="parquet", filesystem=files).to_table(columns=list(self.COLUMNS), filter=ds.field("block") == block)
+        return Table(sorted(rows.to_pylist(), key=lambda r: r["bucket"]), states)
+
+
+def _documents(numbered: DataFrame) -> DataFrame:
+    return numbered.where("kind = 'doc'").select("block", "doc_id", "held", "train", "data")
+
+
+def _ids(column) -> list[np.ndarray]:
     import zstandard
 
     open_ = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(open_(x), dtype=np.uint8) for x in column.to_pylist()]
+    return [np.frombuffer(open_(x), dtype=np.int32) for x in column.to_pylist()]
 
 
-def baum_welch(sequences: DataFrame, iterations: int = ITERATIONS, model: HMM | None = None) -> tuple[HMM, list[float]]:
-    """Train on all rows of ``classes``; returns the model and log-likelihoods.
+def _expected(docs: DataFrame, states: States | HMM, tables: Tables) -> DataFrame:
+    """Expected counts of the documents: rows (at, x) for starts, moves,
+    classes and the log-likelihood, and (block, bucket, data) for the words
+    of a bucket where ``states`` holds the words' states."""
+    shared = docs.sparkSession.sparkContext.broadcast((states, tables))
+    schema = "at long, x double, block long, bucket int, data binary"
+    target = arrow_schema(schema)
+
+    def run(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        states, tables = shared.value
+        by_word = isinstance(states, States)
+        model = states.moves if by_word else states
+        k, total = len(model.start), None
+        for group in runs(batches, ["block"]):
+            block = group.column("block")[0].as_py()
+            table = tables.read(block, k)
+            ids = _ids(group.column("data"))
+            words = len(table.classes)
+            emissions = states.emissions(table) if by_word else None
+            sequences = [np.append(i, np.int32(words)) for i in ids] if by_word else [np.append(table.classes[i], np.uint8(END)) for i in ids]
+            of_words = np.zeros((k, words + 1)) if by_word else None
+            for part in batched(sequences):
+                counts = model.expected([sequences[i] for i in part], emissions)
+                if by_word:
+                    of_words += counts[k + k * k : -1].reshape(k, -1)
+                    counts = np.concatenate((counts[: k + k * k], counts[-1:]))
+                total = counts if total is None else total + counts
+            if by_word and words:
+                parts = of_words.T.astype(np.float32)
+                yield record_batch([(None, None, block, b, squeeze(parts[a:z].tobytes())) for b, a, z in zip(table.buckets, table.cuts, table.cuts[1:])], target)
+        if total is not None:
+            yield record_batch([(i, x, None, None, None) for i, x in enumerate(total.tolist())], target)
+
+    return docs.select("block", "data").mapInArrow(run, schema)
+
+
+def _summed(found: DataFrame, size: int) -> np.ndarray:
+    counts = np.zeros(size)
+    for r in found.where("at IS NOT NULL").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        counts[r["at"]] = r.x
+    return counts
+
+
+def baum_welch(docs: DataFrame, tables: Tables, iterations: int = ITERATIONS, model: HMM | None = None) -> tuple[HMM, np.ndarray | None, list[float]]:
+    """Train over classes: the model, the last expected counts and the log-likelihoods.
 
     Each task adds up expected counts over its sequences; Spark sums them by
     place, and the driver gets one number for each of the model's.
     """
-    model = model or HMM.initial()
-    history = []
+    model, counts, history = model or HMM.initial(), None, []
     for _ in range(iterations):
-        shared = sequences.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            total = None
-            for batch in batches:
-                rows = _opened(batch.column(0))
-                for part in batched(rows):
-                    counts = shared.value.expected([rows[i] for i in part])
-                    total = counts if total is None else total + counts
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "x"])
-
-        sums = sequences.select("classes").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
         k, c = model.emit.shape
-        counts = np.zeros(k + k * k + k * c + 1)
-        for r in sums.collect():
-            counts[r["at"]] = r.x
+        counts = _summed(_expected(docs, model, tables), k + k * k + k * c + 1)
         model, before = model.updated(counts)
         history.append(before)
-    return model, history
+    return model, counts, history
+
+
+def _word_iteration(docs: DataFrame, counted: DataFrame, states: States, tables: Tables, vocabulary: Vocabulary) -> tuple[States, Tables]:
+    """One iteration of Baum-Welch in which every word has its own emissions."""
+    k = len(states.mass)
+    found = stored(_expected(docs, states, tables), "expected")
+    base = counted.where("kind = 'counts'").select("bucket", "block", F.lit(0).alias("order"), "counts", "classes", "places", F.lit(None).cast("binary").alias("data"))
+    parts = found.where("block IS NOT NULL").select("bucket", "block", F.lit(1).alias("order"), *(F.lit(None).cast("binary").alias(c) for c in ("counts", "classes", "places")), "data")
+    rows = clustered(base.unionByName(parts), ["bucket"], ("block", "order"))
+    shared = docs.sparkSession.sparkContext.broadcast((states.prior, vocabulary))
+    schema = "block long, bucket int, counts binary, classes binary, states binary, at int, x double"
+    target = arrow_schema(schema)
 
+    def run(batches):
+        import zstandard
 
-def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+        open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        prior, vocabulary = shared.value
+        for group in runs(batches, ["bucket"]):
+            blocks, expected = [], []
+            for block, order, counts, classes, places, data in zip(*(group.column(c).to_pylist() for c in ("block", "order", "counts", "classes", "places", "data"))):
+                if order == 0:
+                    blocks.append((block, counts, classes, np.frombuffer(open_(places), np.int32)))
+                else:
+                    # A block's documents may have been in two tasks.
+                    expected.append((len(blocks) - 1, np.frombuffer(open_(data), np.float32).reshape(-1, k)))
+            size = 1 + max(int(places.max()) for *_, places in blocks)
+            of_words, n, c = np.zeros((size, k)), np.zeros(size, np.int64), np.zeros(size, np.uint8)
+            for _, counts, classes, places in blocks:
+                n[places], c[places] = np.frombuffer(open_(counts), np.int64), np.frombuffer(open_(classes), np.uint8)
+            for i, x in expected:
+                of_words[blocks[i][3]] += x
+            drawn = of_words + DRAWN * prior[c]
+            drawn /= drawn.sum(axis=1, keepdims=True)
+            seen = n > 0
+            mass = vocabulary.word_share(n[seen], c[seen]) @ drawn[seen]
+            drawn, bucket = drawn.astype(np.float32), group.column("bucket")[0].as_py()
+            for block, counts, classes, places in blocks:
+                yield record_batch([(block, bucket, counts, classes, squeeze(drawn[places].tobytes()), None, None)], target)
+            yield record_batch([(None, None, None, None, None, z, float(x)) for z, x in enumerate(mass)], target)
+
+    new = stored(rows.mapInArrow(run, schema), "states")
+    following = states.of_words(_summed(found, k + k * k + 1), vocabulary, _summed(new, k))
+    return following, Tables(new.where("block IS NOT NULL"))
+
+
+def trained(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary, states: int, iterations: int, word_iterations: int) -> tuple[States, Tables]:
+    """Baum-Welch over classes, then over words, on all rows of ``docs``."""
+    tables = Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    model, counts, _ = baum_welch(docs, tables, iterations, HMM.initial(states))
+    found = States.of_classes(model, counts, vocabulary)
+    for _ in range(word_iterations):
+        found, tables = _word_iteration(docs, counted, found, tables, vocabulary)
+    return found, tables
+
+
+def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, word_iterations: int = WORD_ITERATIONS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -436,22 +592,32 @@ def score_texts(docs: DataFrame, states: int = STATES, iterations: int = ITERATI
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = _numbered(docs, buckets)
     counted = _counted(numbered, _own_words(numbered))
-    sequences, tokens = _sequences(numbered, counted, docs.schema["doc_id"])
-    model, _ = baum_welch(sequences.where("train"), iterations, HMM.initial(states))
-    shared = spark.sparkContext.broadcast(model)
-    columns = ["doc_id", "held_out", "n_tokens", "n_known"]
-    slim = sequences.select(*columns, F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "word_score", "classes")
-    schema = T.StructType([*slim.schema.fields[:6], T.StructField("score", T.DoubleType())])
+    vocabulary = Vocabulary(numbered, counted)
+    found, tables = trained(_documents(numbered).where("train"), counted, vocabulary, states, iterations, word_iterations)
+    shared = spark.sparkContext.broadcast((found, tables, vocabulary))
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
+    target = _arrow(schema)
 
     def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = _opened(batch.column(7))
-            logs = np.zeros(len(rows))
-            for part in batched(rows):
-                logs[part] = shared.value.forward([rows[i] for i in part])
-            score = batch.column(6).to_numpy() + logs / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=schema.fieldNames())
-
-    return slim.mapInArrow(run, schema)
+        found, tables, vocabulary = shared.value
+        k, ends = len(found.mass), vocabulary.ends
+        for group in runs(batches, ["block"]):
+            table = tables.read(group.column("block")[0].as_py(), k)
+            emissions = found.emissions(table)
+            known, log_base = table.counts > 0, np.log10(table.counts + 1) - vocabulary.log_base
+            log_word = np.log10(vocabulary.word_share(table.counts, table.classes))
+            end_base, end_word = np.log10(ends + 1) - vocabulary.log_base, np.log10(vocabulary.word_share(ends, END))
+            ids = _ids(group.column("data"))
+            sequences = [np.append(i, np.int32(len(known))) for i in ids]
+            logs = np.zeros(len(ids))
+            for part in batched(sequences):
+                logs[part] = found.moves.forward([sequences[i] for i in part], emissions=emissions)
+            logs /= np.log(10)
+            rows = [
+                (doc_id, held, len(i) + 1, int(known[i].sum()) + (ends > 0), vocabulary.tokens, float(log_base[i].sum() + end_base), float(log_word[i].sum() + end_word + log))
+                for doc_id, held, i, log in zip(group.column("doc_id").to_pylist(), group.column("held").to_pylist(), ids, logs.tolist())
+            ]
+            for at in range(0, len(rows), 5000):
+                yield record_batch(rows[at : at + 5000], target)
+
+    return _documents(numbered).mapInArrow(run, schema)
