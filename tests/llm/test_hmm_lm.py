@@ -83,7 +83,7 @@ def test_training_raises_likelihood_and_beats_the_base(spark):
         assert sum(r.score for r in rows if r.held_out == part) > sum(r.score for r in classes if r.held_out == part)
     numbered = H._numbered(docs, 4)
     counted = H._counted(numbered, H._own_words(numbered))
-    tables = H.Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    tables = H.Tables.of(counted)
     _, _, history = H.baum_welch(H._documents(numbered).where("train"), tables, 4)
     assert all(b > a for a, b in zip(history, history[1:]))
 
@@ -122,7 +122,7 @@ def test_rare_words_of_one_class_have_their_own_states(spark):
     numbered = H._numbered(docs, 3)
     counted = H._counted(numbered, [b"a", b"b"])
     vocabulary = H.Vocabulary(numbered, counted)
-    tables = H.Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    tables = H.Tables.of(counted)
     prior = np.full((H.CLASSES, 2), 0.5)
     prior[1:3] = [0.9, 0.1], [0.1, 0.9]
     states = H.States(H.HMM(np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]]), np.full((2, H.CLASSES), 1 / H.CLASSES)), prior, np.full(2, 0.5))

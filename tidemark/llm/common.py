@@ -48,6 +48,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more from the shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_file_order(docs: DataFrame, name: str) -> DataFrame:
     """``docs``, read from Parquet, with each row's place in the order of its
     files and their rows as column ``name``; null where they are no file scan.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_fs, shared_dir, stored
+from .common import arrow_fs, remove, shared_dir, stored
 from .groups import arrow_schema, clustered, record_batch, runs
 
 #: Iterations of Baum-Welch over classes, and then over words.
@@ -314,7 +314,8 @@ def _counted(numbered: DataFrame, own: list[bytes]) -> DataFrame:
 
     Rows of kind ``counts``: block, bucket, counts (int64), classes and
     places among the bucket's words (int32), all of the block's words in that
-    bucket in order. Rows of kind ``total``: class in ``bucket``, ``n``
+    bucket in order. Rows of kind ``bucket``: counts and classes of the
+    bucket's words by place. Rows of kind ``total``: class in ``bucket``, ``n``
     training tokens and ``v`` distinct ones.
     """
     words = clustered(numbered.where("kind = 'words'").select("bucket", "block", "data", "counts"), ["bucket"], ("block",))
@@ -341,6 +342,7 @@ def _counted(numbered: DataFrame, own: list[bytes]) -> DataFrame:
             rows = [("counts", block, bucket, squeeze(totals[i].tobytes()), squeeze(classes[i].tobytes()), squeeze(i.astype(np.int32).tobytes()), None, None) for block, i in zip(blocks, ids)]
             seen = totals > 0
             n, v = np.bincount(classes, totals, CLASSES).astype(np.int64), np.bincount(classes[seen], minlength=CLASSES)
+            rows.append(("bucket", None, bucket, squeeze(totals.tobytes()), squeeze(classes.tobytes()), None, None, None))
             rows += [("total", None, c, None, None, None, int(n[c]), int(v[c])) for c in np.flatnonzero(v).tolist()]
             yield record_batch(rows, target)
 
@@ -401,44 +403,53 @@ class States:
 # ---------------------------------------------------------------- tables of blocks
 
 
+#: Parts of 1 in which probabilities and shares of a word's states are kept.
+PARTS = 65_535
+
+
+def _laid(rows: list[dict], column: str, kind) -> np.ndarray:
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(open_(r[column]), kind) for r in rows)])
+
+
 class Table:
     """A block's words: training counts, classes and, from the first iteration
     over words on, P(z|word); ``cuts`` are the first words of ``buckets``."""
 
-    def __init__(self, rows: list[dict], states: int):
+    def __init__(self, rows: list[dict], later: list[dict] | None, states: int):
         import zstandard
 
-        open_ = zstandard.ZstdDecompressor().decompress
-
-        def laid(column, kind):
-            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(open_(r[column]), kind) for r in rows)])
-
-        self.counts, self.classes = laid("counts", np.int64), laid("classes", np.uint8)
+        self.counts, self.classes = _laid(rows, "counts", np.int64), _laid(rows, "classes", np.uint8)
         self.buckets = [r["bucket"] for r in rows]
         self.cuts = np.cumsum([0, *(zstandard.frame_content_size(r["classes"]) for r in rows)])
-        in_words = bool(rows) and rows[0]["states"] is not None
-        self.states = laid("states", np.float32).reshape(-1, states).astype(np.float64) if in_words else None
+        self.states = None if later is None else _laid(later, "states", np.uint16).reshape(-1, states) / PARTS
 
 
-class Tables:
-    """The tables of all blocks in a folder that all executors share.
+class Folder:
+    """Rows by block in a folder that all executors share.
 
     A block's rows lie in the folder of its home, in order, and tasks read
-    them from there by the row groups' bounds. So documents stay where they
-    are while the tables change from iteration to iteration.
+    them from there by the row groups' bounds; so documents stay where they
+    are while words' numbers change. Rows without a block are read by Spark.
     """
 
-    COLUMNS = ("block", "bucket", "counts", "classes", "states")
-
-    def __init__(self, rows: DataFrame):
-        spark = rows.sparkSession
-        self.path, self.homes = shared_dir(spark, "word-tables"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, rows: DataFrame, what: str):
+        self.spark, self.schema = rows.sparkSession, rows.schema
+        self.path, self.homes = shared_dir(self.spark, what), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # Blocks of a task have its number above bit 32.
-        home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(self.homes)).cast("int")
-        placed = rows.select(*self.COLUMNS).withColumn("home", home)
+        home = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(self.homes))
+        placed = rows.withColumn("home", F.coalesce(home, F.pmod(F.spark_partition_id(), F.lit(self.homes))).cast("int"))
         clustered(placed, ["home"], ("block", "bucket")).write.partitionBy("home").option("parquet.block.size", 8 << 20).parquet(self.path)
 
-    def read(self, block: int, states: int) -> Table:
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "homes": self.homes}
+
+    def without_block(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).where("block IS NULL")
+
+    def read(self, block: int) -> list[dict]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
@@ -447,9 +458,26 @@ class Tables:
         found = files.get_file_info(fs.FileSelector(f"{root}/home={home}", allow_not_found=True))
         names = [f.path for f in found if f.path.endswith(".parquet")]
         if not names:
-            return Table([], states)
-        rows = ds.dataset(names, format="parquet", filesystem=files).to_table(columns=list(self.COLUMNS), filter=ds.field("block") == block)
-        return Table(sorted(rows.to_pylist(), key=lambda r: r["bucket"]), states)
+            return []
+        rows = ds.dataset(names, format="parquet", filesystem=files).to_table(filter=ds.field("block") == block)
+        return sorted(rows.to_pylist(), key=lambda r: r["bucket"])
+
+    def remove(self) -> None:
+        remove(self.spark, self.path)
+
+
+class Tables:
+    """The tables of all blocks: what never changes, and the states of the last iteration."""
+
+    def __init__(self, words: Folder, states: Folder | None = None):
+        self.words, self.states = words, states
+
+    @classmethod
+    def of(cls, counted: DataFrame) -> Tables:
+        return cls(Folder(counted.where("kind = 'counts'").select("block", "bucket", "counts", "classes"), "word-tables"))
+
+    def read(self, block: int, states: int) -> Table:
+        return Table(self.words.read(block), self.states and self.states.read(block), states)
 
 
 def _documents(numbered: DataFrame) -> DataFrame:
@@ -465,17 +493,21 @@ def _ids(column) -> list[np.ndarray]:
 
 def _expected(docs: DataFrame, states: States | HMM, tables: Tables) -> DataFrame:
     """Expected counts of the documents: rows (at, x) for starts, moves,
-    classes and the log-likelihood, and (block, bucket, data) for the words
-    of a bucket where ``states`` holds the words' states."""
+    classes and the log-likelihood, with a bucket below 0; where ``states``
+    holds the words' states, also rows (block, bucket, data, counts) for the
+    words of a bucket: their places in these documents and the shares of the
+    states in them."""
     shared = docs.sparkSession.sparkContext.broadcast((states, tables))
-    schema = "at long, x double, block long, bucket int, data binary"
+    schema = "at int, x double, block long, bucket int, data binary, counts binary"
     target = arrow_schema(schema)
 
     def run(batches):
         import zstandard
+        from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         states, tables = shared.value
+        task = -1 - TaskContext.get().partitionId() % tables.words.homes
         by_word = isinstance(states, States)
         model = states.moves if by_word else states
         k, total = len(model.start), None
@@ -494,10 +526,12 @@ def _expected(docs: DataFrame, states: States | HMM, tables: Tables) -> DataFram
                     counts = np.concatenate((counts[: k + k * k], counts[-1:]))
                 total = counts if total is None else total + counts
             if by_word and words:
-                parts = of_words.T.astype(np.float32)
-                yield record_batch([(None, None, block, b, squeeze(parts[a:z].tobytes())) for b, a, z in zip(table.buckets, table.cuts, table.cuts[1:])], target)
+                places = np.bincount(np.concatenate(ids), minlength=words).astype(np.int32)
+                shares = of_words[:, :-1].T / np.maximum(places, 1)[:, None]
+                shares = np.rint(np.minimum(shares, 1) * PARTS).astype(np.uint16)
+                yield record_batch([(None, None, block, b, squeeze(shares[a:z].tobytes()), squeeze(places[a:z].tobytes())) for b, a, z in zip(table.buckets, table.cuts, table.cuts[1:])], target)
         if total is not None:
-            yield record_batch([(i, x, None, None, None) for i, x in enumerate(total.tolist())], target)
+            yield record_batch([(i, x, None, task, None, None) for i, x in enumerate(total.tolist())], target)
 
     return docs.select("block", "data").mapInArrow(run, schema)
 
@@ -525,52 +559,69 @@ def baum_welch(docs: DataFrame, tables: Tables, iterations: int = ITERATIONS, mo
 
 
 def _word_iteration(docs: DataFrame, counted: DataFrame, states: States, tables: Tables, vocabulary: Vocabulary) -> tuple[States, Tables]:
-    """One iteration of Baum-Welch in which every word has its own emissions."""
+    """One iteration of Baum-Welch in which every word has its own emissions.
+
+    One job: expected counts go to the words' buckets, new states back to the
+    blocks. What the driver sums up rides along as rows without a block.
+    """
     k = len(states.mass)
-    found = stored(_expected(docs, states, tables), "expected")
-    base = counted.where("kind = 'counts'").select("bucket", "block", F.lit(0).alias("order"), "counts", "classes", "places", F.lit(None).cast("binary").alias("data"))
-    parts = found.where("block IS NOT NULL").select("bucket", "block", F.lit(1).alias("order"), *(F.lit(None).cast("binary").alias(c) for c in ("counts", "classes", "places")), "data")
-    rows = clustered(base.unionByName(parts), ["bucket"], ("block", "order"))
+    schema = "at int, x double, block long, bucket int, data binary, counts binary"
+    columns = [x.split() for x in schema.split(", ")]
+    binary = F.lit(None).cast("binary")
+
+    def rows_of(kind, order, *given, data=binary, classes=binary):
+        own = [F.col(c) if c in given else data.alias(c) if c == "data" else F.lit(None).cast(t).alias(c) for c, t in columns]
+        return counted.where(F.col("kind") == kind).select(*own, F.lit(order).alias("order"), classes.alias("classes"))
+
+    words = rows_of("bucket", 0, "bucket", "counts", classes=F.col("classes"))
+    places = rows_of("counts", 1, "block", "bucket", data=F.col("places"))
+    found = _expected(docs, states, tables).withColumn("order", F.lit(2)).withColumn("classes", binary)
+    rows = clustered(found.unionByName(words).unionByName(places), ["bucket"], ("block", "order"))
     shared = docs.sparkSession.sparkContext.broadcast((states.prior, vocabulary))
-    schema = "block long, bucket int, counts binary, classes binary, states binary, at int, x double"
-    target = arrow_schema(schema)
+    out = "at int, x double, block long, bucket int, states binary"
+    target = arrow_schema(out)
 
     def run(batches):
         import zstandard
 
         open_, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         prior, vocabulary = shared.value
+        mass, sums = np.zeros(k), np.zeros(k + k * k + 1)
         for group in runs(batches, ["bucket"]):
-            blocks, expected = [], []
-            for block, order, counts, classes, places, data in zip(*(group.column(c).to_pylist() for c in ("block", "order", "counts", "classes", "places", "data"))):
-                if order == 0:
-                    blocks.append((block, counts, classes, np.frombuffer(open_(places), np.int32)))
+            bucket = group.column("bucket")[0].as_py()
+            if bucket < 0:
+                np.add.at(sums, group.column("at").to_numpy(), group.column("x").to_numpy())
+                continue
+            # A bucket's own row has no block and comes first; then each block's
+            # places and, as its documents may have been in two tasks, its counts.
+            n, c = np.frombuffer(open_(group.column("counts")[0].as_py()), np.int64), np.frombuffer(open_(group.column("classes")[0].as_py()), np.uint8)
+            of_words, blocks = np.zeros((len(n), k)), []
+            for i in range(1, group.num_rows):
+                data = open_(group.column("data")[i].as_py())
+                if group.column("order")[i].as_py() == 1:
+                    blocks.append((group.column("block")[i].as_py(), np.frombuffer(data, np.int32)))
                 else:
-                    # A block's documents may have been in two tasks.
-                    expected.append((len(blocks) - 1, np.frombuffer(open_(data), np.float32).reshape(-1, k)))
-            size = 1 + max(int(places.max()) for *_, places in blocks)
-            of_words, n, c = np.zeros((size, k)), np.zeros(size, np.int64), np.zeros(size, np.uint8)
-            for _, counts, classes, places in blocks:
-                n[places], c[places] = np.frombuffer(open_(counts), np.int64), np.frombuffer(open_(classes), np.uint8)
-            for i, x in expected:
-                of_words[blocks[i][3]] += x
+                    shares = np.frombuffer(data, np.uint16).reshape(-1, k).astype(np.float64)
+                    here = np.frombuffer(open_(group.column("counts")[i].as_py()), np.int32)
+                    of_words[blocks[-1][1]] += shares * (here / np.maximum(shares.sum(axis=1), 1))[:, None]  # a block names a word once
             drawn = of_words + DRAWN * prior[c]
-            drawn /= drawn.sum(axis=1, keepdims=True)
+            drawn = np.maximum(np.rint(drawn / drawn.sum(axis=1, keepdims=True) * PARTS), 1).astype(np.uint16)
             seen = n > 0
-            mass = vocabulary.word_share(n[seen], c[seen]) @ drawn[seen]
-            drawn, bucket = drawn.astype(np.float32), group.column("bucket")[0].as_py()
-            for block, counts, classes, places in blocks:
-                yield record_batch([(block, bucket, counts, classes, squeeze(drawn[places].tobytes()), None, None)], target)
-            yield record_batch([(None, None, None, None, None, z, float(x)) for z, x in enumerate(mass)], target)
+            mass += vocabulary.word_share(n[seen], c[seen]) @ (drawn[seen] / PARTS)
+            for block, at in blocks:
+                yield record_batch([(None, None, block, bucket, squeeze(drawn[at].tobytes()))], target)
+        yield record_batch([(i, x, None, None, None) for i, x in enumerate([*sums.tolist(), *mass.tolist()])], target)
 
-    new = stored(rows.mapInArrow(run, schema), "states")
-    following = states.of_words(_summed(found, k + k * k + 1), vocabulary, _summed(new, k))
-    return following, Tables(new.where("block IS NOT NULL"))
+    new = Folder(rows.mapInArrow(run, out), "word-states")
+    sums = _summed(new.without_block(), k + k * k + 1 + k)
+    if tables.states:
+        tables.states.remove()
+    return states.of_words(sums[:-k], vocabulary, sums[-k:]), Tables(tables.words, new)
 
 
 def trained(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary, states: int, iterations: int, word_iterations: int) -> tuple[States, Tables]:
     """Baum-Welch over classes, then over words, on all rows of ``docs``."""
-    tables = Tables(counted.where("kind = 'counts'").withColumn("states", F.lit(None).cast("binary")))
+    tables = Tables.of(counted)
     model, counts, _ = baum_welch(docs, tables, iterations, HMM.initial(states))
     found = States.of_classes(model, counts, vocabulary)
     for _ in range(word_iterations):
