@@ -204,53 +204,43 @@ def _buckets(classes: DataFrame) -> DataFrame:
 GROUP = ["band", "bucket", "ta", "tb"]
 
 
+def _group_pairs(group, band: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group, by row, that outlive the pruning."""
+    n = group.num_rows
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(n, HASHES)
+    first = group.column("tile").to_numpy() == group.column("ta")[0].as_py()
+    kept_l, kept_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for left, right in _pair_rows(n, first, group.column("ta")[0] == group.column("tb")[0]):
+        mask = surviving_pairs(sigs, left, right, band, least)
+        kept_l.append(left[mask])
+        kept_r.append(right[mask])
+    return np.concatenate(kept_l), np.concatenate(kept_r)
+
+
 def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Per group and class: its place there and, as int32 places, the
-    partners behind it that outlive the pruning."""
+    """Per group, its classes with a pair there that outlives the pruning.
+
+    The pairs themselves are not kept: the few groups that have some find
+    them again when they verify them, so nothing stored grows with pairs.
+    """
     least = least_agreements(threshold)
     rows = clustered(_buckets(classes).join(classes.select("key", "sig"), "key"), GROUP)
-    schema = "band int, bucket long, ta int, tb int, key binary, place int, partners binary"
+    schema = "band int, bucket long, ta int, tb int, tile int, key binary"
     target = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
-        waiting, size = [], 0
         for group in runs(batches, GROUP):
-            n = group.num_rows
-            if n < 2:
-                continue
-            band, bucket, ta, tb = (group.column(k)[0].as_py() for k in GROUP)
-            sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(n, HASHES)
-            first = group.column("tile").to_numpy() == ta
-            kept_l, kept_r = [], []
-            for left, right in _pair_rows(n, first, ta == tb):
-                mask = surviving_pairs(sigs, left, right, band, least)
-                kept_l.append(left[mask])
-                kept_r.append(right[mask])
-            if not kept_l or not sum(map(len, kept_l)):
+            if group.num_rows < 2:
                 continue
-            left, right = np.concatenate(kept_l), np.concatenate(kept_r)
-            used = np.union1d(left, right)
-            place = np.full(n, -1, dtype=np.int32)
-            place[used] = np.arange(len(used), dtype=np.int32)
-            order = np.argsort(left, kind="stable")
-            left, right = place[left[order]], place[right[order]]
-            cuts = np.searchsorted(left, np.arange(len(used) + 1))
-            keys = group.column("key").take(pa.array(used)).to_pylist()
-            for i, key in enumerate(keys):
-                waiting.append((band, bucket, ta, tb, key, i, right[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes()))
-                size += 64 + len(waiting[-1][-1])
-            if size > 4 << 20:
-                yield record_batch(waiting, target)
-                waiting, size = [], 0
-        if waiting:
-            yield record_batch(waiting, target)
+            used = np.union1d(*_group_pairs(group, group.column("band")[0].as_py(), least))
+            if len(used):
+                yield from group.select(target.names).take(pa.array(used)).cast(target).to_batches()
 
     return rows.mapInArrow(run, schema)
 
 
-
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the sets' intersections, pair by pair or as a matrix product."""
     if len(left) <= 4 * len(sets):
@@ -275,37 +265,34 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def _verified(candidates: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Per group and class: links found there (rows of the partners' classes
     count) and the class's root in the group's forest of links."""
+    least = least_agreements(threshold)
     # One text of each class, by its key: ids may be null, or one id may be on very
     # many rows. Copies fall to one in each task before any text moves.
     near = stored(candidates.select(F.col("key").alias("_key")).distinct(), "near")
     # The join is by shuffle at any size: a plan that is measured small holds large.
     texts = _with_key(docs.select("text")).join(near.hint("merge"), "_key").groupBy(F.col("_key").alias("key")).agg(F.first("text").alias("text"))
-    rows = candidates.join(texts, "key").join(classes.select("key", "copies"), "key")
-    rows = clustered(rows, GROUP, ("place",))
+    rows = candidates.join(texts, "key").join(classes.select("key", "copies", "sig"), "key")
+    rows = clustered(rows, GROUP)
     schema = "key binary, links long, root binary"
     target = arrow_schema(schema)
 
     def run(batches):
         waiting = []
         for group in runs(batches, GROUP):
-            rows = {}
-            for place, key, partners, text, copies in zip(*(group.column(c).to_pylist() for c in ("place", "key", "partners", "text", "copies"))):
-                rows[place] = key, np.frombuffer(partners, dtype=np.int32), shingle_hashes(text), copies
-            members = [rows[i] for i in range(len(rows))]
-            sets = [m[2] for m in members]
-            left = np.repeat(np.arange(len(members)), [len(m[1]) for m in members])
-            right = np.concatenate([m[1] for m in members])
+            keys = group.column("key").to_pylist()
+            left, right = _group_pairs(group, group.column("band")[0].as_py(), least)
+            sets = [shingle_hashes(text.as_py()) for text in group.column("text")]
             sizes = np.array([len(s) for s in sets])
             shared = common_counts(sets, left, right)
             linked = shared >= threshold * (sizes[left] + sizes[right] - shared) - 1e-9
             left, right = left[linked], right[linked]
-            copies = np.array([m[3] for m in members], dtype=np.int64)
-            links = np.bincount(left, copies[right], len(members)) + np.bincount(right, copies[left], len(members))
-            forest = Forest(len(members))
+            copies = group.column("copies").to_numpy()
+            links = np.bincount(left, copies[right], len(keys)) + np.bincount(right, copies[left], len(keys))
+            forest = Forest(len(keys))
             for i, j in zip(left.tolist(), right.tolist()):
                 forest.link(i, j)
             for i in np.flatnonzero(links).tolist():
-                waiting.append((members[i][0], int(links[i]), members[forest.root(i)][0]))
+                waiting.append((keys[i], int(links[i]), keys[forest.root(i)]))
             if len(waiting) > 20_000:
                 yield record_batch(waiting, target)
                 waiting = []
