@@ -203,7 +203,7 @@ def test_bars_and_pages(spark, tmp_path):
     for i in range(3):
         (pages / f"p{i}.json").write_text(json.dumps({"results": [{"ticker": f"T{i}", "active": True}]}))
     spark.dataSource.register(PagedJson)
-    read = lambda start: sorted(r.ticker for r in spark.read.format("paged_json").option("path", str(pages)).option("start", start).load().collect())
+    read = lambda start: sorted(r.ticker for r in spark.read.format("paged_json").option("path", pages.as_uri()).option("start", start).load().collect())
     assert read(0) == ["T0", "T1", "T2"] and read(2) == ["T2"] and read(9) == []
 
 

@@ -75,6 +75,10 @@ class Warehouse:
         schemas = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
         return sorted(f"{s.getName()}.{t.getPath().getName()}" for s in schemas for t in fs.listStatus(s) if self.exists(f"{s.getName()}.{t.getPath().getName()}"))
 
+    def columns(self, table: str) -> list[tuple[str, str]]:
+        """(name, type) of the table's columns."""
+        return self.read(table).dtypes
+
     def copy_to(self, other: Warehouse, route=lambda table: table) -> list[str]:
         """Copy tables that the target lacks; ``route`` gives a new name or None to skip."""
         made = []
@@ -96,9 +100,20 @@ def newest(tables: list[DataFrame], key: list[str]) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array for people to open; for small, hand-checked frames."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[" + ",\n".join(df.toJSON().toLocalIterator()) + "]\n")
+    """One JSON array for people to open; for small, hand-checked frames.
+
+    Written row by row to any file system that the session knows.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(b"[")
+        for i, row in enumerate(df.toJSON().toLocalIterator()):
+            out.write((",\n" if i else "").encode() + row.encode())
+        out.write(b"]\n")
+    finally:
+        out.close()
 
 
 def write_csv(df: DataFrame, path: str) -> None:
