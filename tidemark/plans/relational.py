@@ -401,7 +401,8 @@ def qcut(spark, sf_dir):
     from ..functions.stats import quantile_bin
 
     w = Window.partitionBy("o_orderstatus")
-    return load(spark, sf_dir, "orders").select("o_orderkey", quantile_bin(w, [F.col("o_totalprice"), F.col("o_orderkey")], 5).alias("q"))
+    rank = F.row_number().over(w.orderBy(F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()))
+    return load(spark, sf_dir, "orders").select("o_orderkey", quantile_bin(rank, F.count("*").over(w), 5).alias("q"))
 
 
 @register("f16_group_size", "SELECT doc_id, count(*) OVER (PARTITION BY lang, source) AS n FROM documents")
