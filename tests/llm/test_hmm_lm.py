@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,3 +157,91 @@ def test_score_is_the_sum_over_paths_of_words(spark):
                 p *= found.moves.move[path[t - 1], path[t]] * rows[t][path[t]]
             total += p
         assert r.score == pytest.approx(math.log10(total), abs=1e-5)
+
+
+def plain_recursions(model, sequences, emissions):
+    """Log-likelihoods, and expected counts of moves and symbols, by scaling at every step."""
+    k = len(model.start)
+    logs, moves, symbols = np.zeros(len(sequences)), np.zeros((k, k)), np.zeros((k, len(emissions)))
+    ends = [len(s) for s in sequences]
+    alphas, totals = [], []
+    for t in range(max(ends)):
+        on = sum(e > t for e in ends)
+        at = np.array([s[t] for s in sequences[:on]])
+        now = emissions[at] * (model.start if t == 0 else alphas[-1][:on] @ model.move)
+        totals.append(now.sum(axis=1))
+        alphas.append(now / totals[-1][:, None])
+        logs[:on] += np.log(totals[-1])
+    after = None
+    for t in reversed(range(len(alphas))):
+        on = len(alphas[t])
+        at = np.array([s[t] for s in sequences[:on]])
+        beta = np.ones((on, k))
+        if after is not None:
+            moves += alphas[t][: len(after)].T @ after
+            beta[: len(after)] = after @ model.move.T
+        np.add.at(symbols.T, at, alphas[t] * beta)
+        after = emissions[at] * beta / totals[t][:, None]
+    return logs, moves * model.move, symbols
+
+
+@pytest.mark.parametrize("window", [1, 100, 1 << 14])
+def test_long_sequences_of_rare_symbols_keep_their_counts(monkeypatch, window):
+    monkeypatch.setattr(H, "WINDOW_TOKENS", window)
+    # Emissions and moves as small as smoothing leaves them on far more than 30 GB.
+    move = np.full((3, 3), 1e-14) + np.eye(3)
+    model = H.HMM(np.full(3, 1 / 3), move / move.sum(axis=1, keepdims=True), np.full((3, 4), 0.25))
+    emissions = np.array([[1e-14, 1e-15, 1e-14], [0.9, 1e-14, 1e-3], [1e-14, 0.9, 1e-14], [1e4, 1e-9, 1e4]])
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, 4, n).astype(np.int32) for n in (2000, 1999, 1000, 17, 16, 9, 8, 7, 1)]
+    want = plain_recursions(model, sequences, emissions)
+    assert np.allclose(model.forward(sequences, emissions=emissions), want[0], rtol=1e-12)
+    symbols = np.ones((3, 4))
+    got = model.expected(sequences, emissions, symbols)
+    assert np.allclose(got[3:12].reshape(3, 3), want[1], rtol=1e-8) and np.allclose(symbols - 1, want[2], rtol=1e-8)
+    assert len(got) == 3 + 9 + 1 and got[:3].sum() == pytest.approx(len(sequences))
+    assert symbols.sum() - symbols.size == pytest.approx(sum(map(len, sequences)))
+
+
+def test_recursions_cost_less_than_plain_ones():
+    # Measured: 0.16 to 0.19 of the plain time, 0.62 to 0.64 with a scaling at every step.
+    model, rng = H.HMM.initial(), np.random.default_rng(7)
+    sequences = [rng.integers(0, H.CLASSES, n).astype(np.uint8) for n in sorted(range(2000, 5000, 100), reverse=True)]
+    emissions = model.emit.T.copy()
+
+    def least(work):
+        taken = []
+        for _ in range(4):
+            start = time.thread_time()
+            work()
+            taken.append(time.thread_time() - start)
+        return min(taken)
+
+    assert least(lambda: model.expected(sequences)) < 0.4 * least(lambda: plain_recursions(model, sequences, emissions))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 100])
+def test_words_are_numbered_as_they_first_appear(piece):
+    for texts in ([], ["", None], TEXTS, TEXTS[::-1], ["a\x1cb \x85 \xa0", "", "", " A ", "é\u2028É"]):
+        data = [(t or "").encode() for t in texts]
+        words, ids = H.numbered_words([H.cut(data[a : a + piece]) for a in range(0, len(data), piece)])
+        tokens = [brute_tokens(t)[:-1] for t in texts]
+        assert [w.decode() for w in words] == list(dict.fromkeys(itertools.chain(*tokens)))
+        assert [[words[i].decode() for i in x] for x in ids] == tokens
+
+
+def test_blocks_of_many_pieces_hold_every_document(spark, monkeypatch):
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(H, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(H, "PIECE_BYTES", 900)
+    numbered = H._numbered(docs, 3)
+    words = {}
+    for r in numbered.where("kind = 'words'").orderBy("block", "bucket").collect():
+        words.setdefault(r.block, []).extend(zstandard.ZstdDecompressor().decompress(r.data).split(b"\n"))
+    assert len(words) > 3
+    got = {}
+    for r in numbered.where("kind = 'doc'").collect():
+        ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.data), np.int32)
+        got[r.doc_id] = [words[r.block][i].decode() for i in ids]
+    assert got == {i: brute_tokens(t)[:-1] for i, t in rows}

@@ -46,14 +46,56 @@ END = 0
 #: Bytes of text whose words a task numbers at once, and tokens it runs at once.
 BLOCK_BYTES, BATCH_TOKENS = 24 << 20, 300_000
 SMOOTH = 0.01
+#: Steps of the recursions between two scalings. A row of moves sums to 1, so a
+#: step keeps at least the symbol's least emission: over SMOOTH / tokens, far
+#: from underflow in so many steps.
+RESCALED = 8
+#: Tokens of the backward recursion whose counts are added up at once.
+WINDOW_TOKENS = 1 << 14
 #: Counts by which a word's states are drawn towards those of its class.
 DRAWN = 5.0
+#: Bytes of text that are cut into words at once.
+PIECE_BYTES = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SEPARATES = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words of a text: runs without blank, tab or line break; A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def cut(texts: list[bytes]) -> tuple:
+    """Words of UTF-8 texts, end to end as a dictionary array of pyarrow, and how many each text has.
+
+    Words are runs without blank, tab or line break, A-Z lower-cased.
+    """
+    import pyarrow as pa
+
+    # A blank before the first text and after each.
+    data = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_LOWER), np.uint8)
+    inside = ~_SEPARATES[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    firsts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return words.dictionary_encode(), np.diff(np.searchsorted(starts, firsts))
+
+
+def numbered_words(pieces: list[tuple]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of texts that ``cut`` has cut, as they first appear,
+    and their numbers (int32) text by text. Empties ``pieces``."""
+    import pyarrow as pa
+
+    if not pieces:
+        return [], []
+    # Words of pieces, one after another, are numbered like those of texts.
+    found = pa.concat_arrays([p.dictionary for p, _ in pieces]).dictionary_encode()
+    numbers, at, ids = found.indices.to_numpy(), 0, []
+    for i, (piece, lengths) in enumerate(pieces):
+        pieces[i] = None
+        ids += np.split(numbers[at : at + len(piece.dictionary)][piece.indices.to_numpy()], np.cumsum(lengths)[:-1])
+        at += len(piece.dictionary)
+    pieces.clear()
+    _, offsets, data = found.dictionary.buffers()
+    offsets, data = np.frombuffer(offsets, np.int64)[: len(found.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+    return [data[a:z] for a, z in zip(offsets, offsets[1:])], ids
 
 
 def suffix_class(word: bytes) -> int:
@@ -81,56 +123,69 @@ class HMM:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
     def forward(self, sequences: list[np.ndarray], keep: bool = False, emissions: np.ndarray | None = None):
-        """Scaled forward recursion of sequences in falling length.
+        """Scaled forward recursion of sequences, none empty, in falling length.
 
         Returns their log-likelihoods and, with ``keep``, what the backward
         pass needs. Step t runs on all sequences longer than t at once.
         """
-        lengths = np.array([len(s) for s in sequences])
+        lengths = np.array([len(s) for s in sequences], dtype=np.int64)
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
         starts = np.concatenate(([0], np.cumsum(active)))
         # Tokens step by step: all first ones, all second ones, and so on.
-        at = np.empty(starts[-1], dtype=np.uint8 if emissions is None else np.int32)
-        for i, s in enumerate(sequences):
-            at[starts[: len(s)] + i] = s
-        emitted = (self.emit.T.copy() if emissions is None else emissions)[at]
-        logs = np.zeros(len(sequences))
-        alphas, scales = emitted, np.empty(starts[-1])
-        before = None
+        at = np.empty(starts[-1], dtype=np.intp)
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        at[starts[np.arange(len(of)) - (np.cumsum(lengths) - lengths)[of]] + of] = np.concatenate([np.zeros(0, np.uint8), *sequences])
+        alphas = (self.emit.T.copy() if emissions is None else emissions).take(at, axis=0)
+        logs, scales, ones = np.zeros(len(sequences)), {}, np.ones(len(self.start))
+        bounds, before = starts.tolist(), None
         for t in range(steps):
-            a, b = starts[t], starts[t + 1]
-            now = alphas[a:b]
-            now *= self.start if t == 0 else before[: b - a] @ self.move
-            total = now.sum(axis=1)
-            now /= total[:, None]
-            scales[a:b] = total
+            now = alphas[bounds[t] : bounds[t + 1]]
+            now *= self.start if t == 0 else before[: len(now)].dot(self.move)
+            if t % RESCALED == RESCALED - 1:
+                total = scales[t] = now.dot(ones)
+                now /= total[:, None]
+                logs[: len(now)] += np.log(total)
             before = now
-        np.log(scales, out=scales)
-        for t in range(steps):
-            logs[: active[t]] += scales[starts[t] : starts[t + 1]]
-        return (logs, (alphas, np.exp(scales), at, starts, active)) if keep else logs
+        ends = alphas[starts[lengths - 1] + np.arange(len(lengths))].dot(ones)
+        logs += np.log(ends)
+        return (logs, (alphas, scales, ends, at, starts, active)) if keep else logs
 
-    def expected(self, sequences: list[np.ndarray], emissions: np.ndarray | None = None) -> np.ndarray:
-        """Expected counts of one Baum-Welch step: start, moves, emissions, log-likelihood."""
+    def expected(self, sequences: list[np.ndarray], emissions: np.ndarray | None = None, symbols: np.ndarray | None = None) -> np.ndarray:
+        """Expected counts of one Baum-Welch step: start, moves, emissions, log-likelihood.
+
+        Given ``symbols``, a row for each state, those of emissions are added to it instead.
+        """
         k = len(self.start)
-        logs, (alphas, scales, at, starts, active) = self.forward(sequences, True, emissions)
-        gammas = np.empty_like(alphas)
-        moves = np.zeros((k, k))
-        emitted = self.emit.T.copy() if emissions is None else emissions
-        after = None
-        for t in range(len(active) - 1, -1, -1):
-            a, b = starts[t], starts[t + 1]
-            beta = np.ones((b - a, k))
-            if after is not None:
-                n = len(after)
-                moves += alphas[a : a + n].T @ after
-                beta[:n] = after @ self.move.T
-            gammas[a:b] = alphas[a:b] * beta
-            after = emitted[at[a:b]] * beta / scales[a:b, None]
-        emission = np.stack([np.bincount(at, gammas[:, s], len(emitted)) for s in range(k)])
-        first = gammas[: active[0]].sum(axis=0) if len(active) else np.zeros(k)
-        return np.concatenate((first, (moves * self.move).ravel(), emission.ravel(), [logs.sum()]))
+        logs, (alphas, scales, ends, at, starts, active) = self.forward(sequences, True, emissions)
+        table = self.emit.T.copy() if emissions is None else emissions
+        found = np.zeros((k, len(table))) if symbols is None else symbols
+        bounds, back, last = starts.tolist(), self.move.T.copy(), 1 / ends
+        first, moves, later, end = np.zeros(k), np.zeros((k, k)), alphas[:0], len(active)
+        while end:
+            # Steps begin to end, some WINDOW_TOKENS, from the last ones to the first.
+            begin = min(end - 1, int(np.searchsorted(starts, bounds[end] - WINDOW_TOKENS)))
+            low, high = bounds[begin], bounds[end]
+            after, gammas = table.take(at[low:high], axis=0), np.empty((high - low, k))
+            for t in range(end - 1, begin - 1, -1):
+                a, b = bounds[t] - low, bounds[t + 1] - low
+                n, beta = len(later), gammas[a:b]
+                np.dot(later, back, out=beta[:n])
+                beta[n:] = last[n : b - a, None]
+                later = after[a:b]
+                later *= beta
+                if t in scales:
+                    later /= scales[t][:, None]
+            into = max(begin, 1)
+            before = np.arange(bounds[into], high) - np.repeat(active[into - 1 : end - 1], active[into:end])
+            moves += alphas.take(before, axis=0).T @ after[bounds[into] - low :]
+            gammas *= alphas[low:high]
+            for s in range(k):
+                np.add.at(found[s], at[low:high], gammas[:, s])
+            if begin == 0:
+                first = gammas[: active[0]].sum(axis=0)
+            end = begin
+        return np.concatenate((first, (moves * self.move).ravel(), found.ravel() if symbols is None else found[:0, 0], [logs.sum()]))
 
     def updated(self, counts: np.ndarray) -> tuple[HMM, float]:
         """The model that maximises the expected counts, and the log-likelihood before."""
@@ -173,30 +228,27 @@ def _numbered(docs: DataFrame, buckets: int) -> DataFrame:
     target = _arrow(schema)
 
     def run(batches: Iterable):
+        import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         block = TaskContext.get().partitionId() << 32
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        waiting, size = [], 0
+        waiting, texts, pieces, size, uncut = [], [], [], 0, 0
 
         def close():
-            nonlocal number, waiting, size, block
-            words = list(number)
+            nonlocal waiting, size, block
+            words, numbers = numbered_words(pieces)
             hashed = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint32, count=len(words)) % np.uint32(buckets)
             order = np.argsort(hashed, kind="stable")
             renumbered = np.empty(len(words), dtype=np.int32)
             renumbered[order] = np.arange(len(words), dtype=np.int32)
             counts = np.zeros(len(words), dtype=np.int64)
             rows = []
-            for doc_id, held, train, ids in waiting:
+            for (doc_id, held, train), ids in zip(waiting, numbers):
                 ids = renumbered[ids]
                 if train:
-                    counts += np.bincount(ids, minlength=len(words)) if len(ids) > len(words) // 8 else 0
-                    if len(ids) <= len(words) // 8:
-                        np.add.at(counts, ids, 1)
+                    np.add.at(counts, ids, 1)
                 rows.append(("doc", block, -1, doc_id, held, train, squeeze(ids.tobytes()), None))
                 if len(rows) == 2000:
                     yield record_batch(rows, target)
@@ -208,17 +260,21 @@ def _numbered(docs: DataFrame, buckets: int) -> DataFrame:
                     rows.append(("words", block, b, None, None, None, squeeze(b"\n".join([words[i] for i in own.tolist()])), squeeze(counts[cuts[b] : cuts[b + 1]].tobytes())))
             if rows:
                 yield record_batch(rows, target)
-            number.clear()
             waiting, size, block = [], 0, block + 1
 
         for batch in batches:
-            for doc_id, text, held, named in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text = text.as_py()
-                ids = np.fromiter(map(number.__getitem__, tokens_of(text)), dtype=np.int32)
-                waiting.append((doc_id, held, named and not held, ids))
-                size += len(text or "") + 100
+            for doc_id, text, held, named in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                texts.append(text.as_py() or b"")
+                waiting.append((doc_id, held, named and not held))
+                size += len(texts[-1]) + 100
+                uncut += len(texts[-1]) + 100
+                if uncut >= PIECE_BYTES or size >= BLOCK_BYTES:
+                    pieces.append(cut(texts))
+                    texts, uncut = [], 0
                 if size >= BLOCK_BYTES:
                     yield from close()
+        if texts:
+            pieces.append(cut(texts))
         if waiting:
             yield from close()
 
@@ -520,10 +576,7 @@ def _expected(docs: DataFrame, states: States | HMM, tables: Tables) -> DataFram
             sequences = [np.append(i, np.int32(words)) for i in ids] if by_word else [np.append(table.classes[i], np.uint8(END)) for i in ids]
             of_words = np.zeros((k, words + 1)) if by_word else None
             for part in batched(sequences):
-                counts = model.expected([sequences[i] for i in part], emissions)
-                if by_word:
-                    of_words += counts[k + k * k : -1].reshape(k, -1)
-                    counts = np.concatenate((counts[: k + k * k], counts[-1:]))
+                counts = model.expected([sequences[i] for i in part], emissions, of_words)
                 total = counts if total is None else total + counts
             if by_word and words:
                 places = np.bincount(np.concatenate(ids), minlength=words).astype(np.int32)
