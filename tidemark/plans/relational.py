@@ -163,8 +163,11 @@ def anti(spark, sf_dir):
 
 @register("d07_self_anti_inequality", "SELECT p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_type = a.p_type AND b.p_partkey < a.p_partkey)")
 def self_anti(spark, sf_dir):
-    a, b = load(spark, sf_dir, "part").alias("a"), load(spark, sf_dir, "part").alias("b")
-    return a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("b.p_partkey") < F.col("a.p_partkey")), "left_anti").select("p_partkey")
+    """No smaller key exists where the key is its group's least: a sum of the groups
+    instead of pairs. A null brand, type or key is below and above nothing."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    least = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("least"))
+    return part.join(least, ["p_brand", "p_type"], "left").where("p_partkey <= least OR least IS NULL OR p_partkey IS NULL").select("p_partkey")
 
 
 @register("d08_lag_bound", f"SELECT a.o_orderkey AS deal, b.o_orderkey AS filing, date_diff('day', {DAY.replace('o_', 'b.o_')}, {DAY.replace('o_', 'a.o_')}) AS days FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' AND date_diff('day', {DAY.replace('o_', 'b.o_')}, {DAY.replace('o_', 'a.o_')}) BETWEEN 0 AND 120")
