@@ -26,6 +26,15 @@ def test_html():
     assert html.visible_text(None) == "" and html.page_title("") == "" and html.release("<p>No head</p>") is None
 
 
+def test_references_end_in_a_semicolon(spark):
+    """A reference cut short or of no known name stays as written, as in the SQL of j36."""
+    said = "<script type='application/ld+json'>{\"a\": \"x &amp y\"}</script><!-- &amp --><a href='/a?copy=1&copy=2'>A&ampB &#65; &#66 &zz; &amp;lt; &lt;b&gt; AT&T &amp</a><h1>Ly &amp;&quot; and&amp</h1>"
+    r = html._read(said)
+    assert r.ld == ['{"a": "x &amp y"}'] and r.links == [("/a?copy=1&copy=2", "A&ampB A &#66 &zz; &lt; <b> AT&T &amp")]
+    pages = spark.createDataFrame([(1, said)], "page_id long, html string")
+    assert releases.page_texts(pages).first().headline == 'Ly &" and&amp'
+
+
 @pytest.mark.parametrize(("body", "want"), [
     ("Litigation Release No. 24000 / Dec. 18, 2020\nx", D(2020, 12, 18)), ("Litigation Release No. 24000 / January 13 2020", D(2020, 1, 13)), ("Litigation Release No. 24000\nSept. 5, 2019\nFiled March 1, 2018", D(2019, 9, 5)),
     ("Litigation Release No. 24000\nSEC v. Doe\nMarch 1, 2018", None), ("Litigation Release No. 24000 / Smarch 1, 2018", None),
