@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import registry
+from tidemark.plans import registry, relational
 
 NAN = float("nan")
 ORDERS = "o_orderkey long, o_orderstatus string, o_totalprice double"
@@ -55,3 +55,14 @@ def test_self_anti_sums_groups_instead_of_pairs(spark, tmp_path):
     got = registry.queries()["d07_self_anti_inequality"](spark, str(tmp_path))
     assert in_order(got.collect()) == in_order(by_sql("d07_self_anti_inequality", files, "part"))
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sibling_pairs_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relational, "TILE", 7)
+    monkeypatch.setattr(relational, "PAIRS_A_TASK", 1_000)
+    files = parts(spark, tmp_path)
+    want = in_order(by_sql("d19_sibling_equi", files, "part"))
+    got = registry.queries()["d19_sibling_equi"](spark, str(tmp_path))
+    # Rows of few bytes: without a number of their own all pairs were made in one task.
+    assert got.rdd.getNumPartitions() >= len(want) / 1_000 > 4
+    assert in_order(got.collect()) == want

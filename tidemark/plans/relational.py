@@ -213,9 +213,31 @@ def windowed_min(spark, sf_dir):
 
 @register("d19_sibling_equi", "SELECT a.p_partkey AS p, b.p_partkey AS q FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey")
 def sibling_equi(spark, sf_dir):
-    a = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("p"))
-    b = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_size", F.col("p_partkey").alias("q"))
-    return a.join(b, ["p_brand", "p_type", "p_size"]).where("p <> q").select("p", "q")
+    return own_pairs(load(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], "p_partkey").select("p", "q")
+
+
+#: Rows of a group that meet the whole group in one place, and pairs a task.
+TILE, PAIRS_A_TASK = 1_000, 5_000_000
+
+
+def own_pairs(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    """``by``, p and q: every two different keys of a group, both ways.
+
+    The pairs outgrow the rows, so tasks are counted by pairs (at least the
+    session's shuffle partitions) and not by bytes: a group is cut into tiles of
+    some ``TILE`` rows, and each tile meets a copy of its group, in a task of its own
+    if need be. A task holds one tile.
+    """
+    rows = df.select(*by, F.col(key).alias("p")).dropna()
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0.0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS_A_TASK) + 1)
+    large = sizes.where(F.col("_n") > TILE).withColumn("_tiles", F.ceil(F.col("_n") / TILE).cast("int")).drop("_n")
+    dealt = rows.join(large, by, "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    # A number of partitions of one's own is not merged by size; the sides are sorted, so no side is sent whole.
+    tile = dealt.withColumn("_tile", F.pmod(F.xxhash64("p"), F.col("_tiles")).cast("int")).drop("_tiles").repartition(tasks, *by, "_tile")
+    group = dealt.select(*by, F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile")).repartition(tasks, *by, "_tile")
+    return group.hint("merge").join(tile, [*by, "_tile"]).where("p <> q").drop("_tile")
 
 
 @register("d21_newest_version", "SELECT doc_id, v, score FROM (SELECT doc_id, 1 AS v, quality AS score FROM labels UNION ALL BY NAME SELECT doc_id, 2 AS v, toxic AS score FROM labels WHERE quality = 1) QUALIFY v = max(v) OVER (PARTITION BY doc_id)")
