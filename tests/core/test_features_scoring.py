@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, daymove, features, models, scoring
@@ -212,3 +213,44 @@ def test_first_move_without_baseline(spark):
     ev = spark.createDataFrame([("e", "A", dt.date(2024, 3, 8)), ("f", "B", dt.date(2024, 3, 8))], "event_id string, symbol string, day0 date")
     got = {r.event_id: (r.ts, r.note) for r in daymove.first_move(ev, bars, cal).collect()}
     assert got == {"e": (None, "too little trading before the window for a baseline"), "f": (None, "no minute bars")}
+
+
+def labelled(spark, n=4_000):
+    """Rows of few distinct values, nulls among them, with a label that depends on both features."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 12, n).astype(float), rng.integers(0, 9, n).astype(float)
+    y = rng.random(n) < 0.1 + 0.5 * ((a > 6) & (b < 4))
+    rows = [(f"e{i}", None if i % 11 == 0 else float(a[i]), float(b[i]), None if i % 17 == 0 else bool(y[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id string, a double, b double, y boolean")
+
+
+def test_boosted_trees_equal_sparks_in_few_jobs(spark, monkeypatch):
+    df = labelled(spark).cache()
+    scores = lambda made, c: {r.event_id: r[c] for r in made.collect()}
+    jobs = lambda g: len(spark.sparkContext.statusTracker().getJobIdsForGroup(g))
+    spark.sparkContext.setJobGroup("oof", "oof")
+    made = models.out_of_fold(df, ["a", "b"], "y", "event_id", iterations=20)
+    got = scores(made, "supervised_oof")
+    spark.sparkContext.setJobGroup("one", "one")
+    one = scores(models.supervised(df, df, ["a", "b"], "y", iterations=20), "supervised")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs("oof") <= 20 and jobs("one") <= 12
+    assert made.columns == ["event_id", "a", "b", "y", "supervised_oof"] and len(got) == len(one) == 4_000
+    # Folds as by one window over each class, and no model has seen its own fold.
+    y = F.coalesce("y", F.lit(False))
+    order = Window.partitionBy(y).orderBy(F.md5(F.col("event_id").cast("binary")))
+    fold = {r.event_id: r.f for r in df.withColumn("f", F.row_number().over(order) % 5).collect()}
+    assert fold == {r.event_id: r._fold for r in models._dealt(df, "y", "event_id", 5).collect()}
+    seen = df.join(spark.createDataFrame(list(fold.items()), "event_id string, f int"), "event_id").cache()
+    alone = scores(models.supervised(seen.where("f <> 2"), seen.where("f = 2"), ["a", "b"], "y", iterations=20), "supervised")
+    assert alone == {e: pytest.approx(got[e], abs=1e-12) for e, f in fold.items() if f == 2}
+    # Rows of too many different bins go to Spark's own trees.
+    monkeypatch.setattr(models, "MOST_CELLS", 10)
+    assert scores(models.supervised(df, df, ["a", "b"], "y", iterations=20), "supervised") == {e: pytest.approx(p, abs=1e-9) for e, p in one.items()}
+
+
+def test_too_few_labels_have_no_boosted_score(spark):
+    df = labelled(spark, 50).withColumn("y", F.col("event_id") == "e3")
+    assert {r.supervised for r in models.supervised(df, df, ["a"], "y").collect()} == {None}
+    assert {r.supervised_oof for r in models.out_of_fold(df, ["a"], "y", "event_id").collect()} == {None}
+    assert {r.supervised for r in models.supervised(df.where("y IS NULL"), df, ["a"], "y").collect()} == {None}
