@@ -30,6 +30,8 @@ class IsolationForest:
         rng = np.random.default_rng(seed)
         self.size = min(size, len(sample))
         self.limit = int(np.ceil(np.log2(max(2, self.size))))
+        #: Made by the first score, in each process.
+        self._tables: list = []
         self.trees = [self._grow(sample[rng.choice(len(sample), self.size, replace=False)], 0, rng) for _ in range(trees)]
 
     def _grow(self, x: np.ndarray, depth: int, rng):
@@ -42,6 +44,17 @@ class IsolationForest:
         left = x[:, f] <= cut
         return f, cut, self._grow(x[left], depth + 1, rng), self._grow(x[~left], depth + 1, rng)
 
+    def _cells(self, node, cuts: list[np.ndarray], at: tuple[slice, ...], out: np.ndarray) -> None:
+        """Depths of a tree's boxes, each written over its cells between cuts."""
+        if isinstance(node, float):
+            out[at] = node
+            return
+        f, cut, left, right = node
+        i = int(np.searchsorted(cuts[f], cut)) + 1
+        low, high = at[f].start, at[f].stop
+        self._cells(left, cuts, (*at[:f], slice(low, i), *at[f + 1 :]), out)
+        self._cells(right, cuts, (*at[:f], slice(i, high), *at[f + 1 :]), out)
+
     def _depths(self, node, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
         if isinstance(node, float):
             out[rows] += node
@@ -51,10 +64,45 @@ class IsolationForest:
         self._depths(left, x, rows[goes], out)
         self._depths(right, x, rows[~goes], out)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def _by_cells(self, x: np.ndarray) -> np.ndarray:
+        """Rows by the places between all trees' cuts, found once; a tree maps them to its own cells."""
+        if not self._tables:
+            cuts = [[[] for _ in range(x.shape[1])] for _ in self.trees]
+
+            def gather(node, own):
+                if not isinstance(node, float):
+                    own[node[0]].append(node[1])
+                    gather(node[2], own)
+                    gather(node[3], own)
+
+            for tree, own in zip(self.trees, cuts):
+                gather(tree, own)
+            cuts = [[np.unique(np.array(c)) for c in own] for own in cuts]
+            self._all = [np.unique(np.concatenate(c)) for c in zip(*cuts)]
+            for tree, own in zip(self.trees, cuts):
+                out = np.empty([len(c) + 1 for c in own])
+                self._cells(tree, own, tuple(slice(0, n) for n in out.shape), out)
+                # The place after the last cut has no cut of its own.
+                places = [np.append(np.searchsorted(c, every), len(c)).astype(np.int16) for c, every in zip(own, self._all)]
+                self._tables.append((places, out))
+        at = [np.searchsorted(every, x[:, f]) for f, every in enumerate(self._all)]
         total = np.zeros(len(x))
-        for tree in self.trees:
-            self._depths(tree, x, np.arange(len(x)), total)
+        for places, depths in self._tables:
+            cell = places[0][at[0]].astype(np.intp)
+            for f in range(1, len(at)):
+                cell *= depths.shape[f]
+                cell += places[f][at[f]]
+            total += depths.ravel()[cell]
+        return total
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        # Cells between cuts are few in one or two columns only.
+        if x.shape[1] <= 2:
+            total = self._by_cells(x)
+        else:
+            total = np.zeros(len(x))
+            for tree in self.trees:
+                self._depths(tree, x, np.arange(len(x)), total)
         return 2.0 ** (-total / len(self.trees) / max(1e-9, float(_path_length(self.size))))
 
 
@@ -69,12 +117,16 @@ def isolation_forest(fit: DataFrame, apply: DataFrame, columns: list[str], out:
         return apply.withColumn(out, F.lit(None).cast("double"))
     forest = apply.sparkSession.sparkContext.broadcast(IsolationForest(np.array([list(r) for r in rows]), trees, seed=seed))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].astype("float64").fillna(0.0).to_numpy()
-            yield pdf.assign(**{out: forest.value.score(x)})
+    names, fields = apply.columns, apply.schema.fields
+    rows, values, _ = _with_features(apply, columns)
 
-    return apply.mapInPandas(run, T.StructType([*apply.schema.fields, T.StructField(out, T.DoubleType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values])
+            scores = forest.value.score(np.where(np.isnan(x), 0.0, x))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores)], [*names, out])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
 
 
 # ---------------------------------------------------------------- boosted trees
