@@ -273,3 +273,23 @@ def test_forest_of_two_columns_scores_by_cells():
         got = forest.score(x)
         assert (got == 2.0 ** (-walked / 40 / models._path_length(256))).all()
         assert bool(steps) == (columns == 3)
+
+
+def test_auc_orders_scores_by_ranges(spark):
+    """No task orders all distinct scores; ranks of ties and nulls as counted by hand."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 13 == 0 else float(rng.integers(0, 400)) / 7, float(rng.normal()), bool(rng.random() < 0.2), i % 29 == 0) for i in range(3_000)]
+    df = spark.createDataFrame([(a, b, None if n else y) for a, b, y, n in rows], "a double, b double, y boolean")
+    y = np.array([bool(y) and not n for _, _, y, n in rows])
+    made = scoring.aucs(df, ["a", "b"], F.col("y"))
+    got = {r.score: r.auc for r in made.collect()}
+    for i, name in enumerate(("a", "b")):
+        s = pd.Series([-np.inf if r[i] is None else r[i] for r in rows]).rank().to_numpy()
+        want = (s[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+        assert got[name] == pytest.approx(want, abs=1e-12)
+        assert scoring.auc(df, name, F.col("y")).first().auc == got[name]
+    assert scoring.auc(df.where("y IS NULL"), "a", F.col("y")).first().auc is None
+    assert scoring.auc(df.where("false"), "a", F.col("y")).first().auc is None
+    # The one window over whole scores is over ranges, a row each; distinct scores are dealt by range first.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and not [line for line in plan.splitlines() if "Window [" in line and "[s#" in line and "_part" not in line]

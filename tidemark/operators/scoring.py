@@ -17,7 +17,9 @@ def peer_groups(df: DataFrame, size: str, division: str, event_id: str = "event_
     group under 20 events goes to ``q/all``; that pool holds only the events that fell back, not the
     whole quintile. Where the quintile itself has under 20, it is ``all``.
     """
-    middle, cuts = df.agg(F.median(size), cuts_of(size)).first()
+    missing, cuts = df.agg(F.count_if(F.col(size).isNull()), cuts_of(size)).first()
+    # An exact median holds the table's different sizes in one task; only a missing size asks for it.
+    middle = df.agg(F.median(size)).first()[0] if missing else None
     df = df.withColumn("_size", F.coalesce(F.col(size), F.lit(middle)).cast("double"))
     df = global_rank(df, "_size", event_id, "_rank", "_all", cuts or []).withColumn("size_q", quantile_bin(F.col("_rank"), F.col("_all"), BINS))
     df = df.withColumn("_g", F.concat_ws("/", F.col("size_q").cast("string"), F.coalesce(F.col(division), F.lit("?"))))
@@ -65,19 +67,33 @@ def lift(df: DataFrame, score: str, label: Column, share: float, event_id: str =
     return lifts(df, score, label, (share,), event_id).drop("share")
 
 
-def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
-    """One row: area under the curve by average ranks; null scores come last,
+def aucs(df: DataFrame, scores: list[str], label: Column) -> DataFrame:
+    """score, auc: area under the curve by average ranks; null scores come last,
     ties count half, one class alone gives null.
 
-    Ranks follow from counts per distinct score: the scores are summed
-    first, and only distinct ones are ordered.
+    Ranks follow from counts per distinct score, for all scores in one pass:
+    they are summed first, dealt by range to as many tasks as the session shuffles
+    to, and ordered there; a range comes after the counts of those before it.
     """
     y = F.coalesce(label, F.lit(False)).cast("int")
-    g = df.select(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), y.alias("y")).groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = g.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
-    t = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"))
-    return t.select(((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0))).alias("auc"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias("s")) for s in scores]))
+    g = df.select(each.alias("e"), y.alias("y")).groupBy("e.score", "e.s").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("p"))
+    # A number of partitions of one's own is not merged by size, and a score is in one range.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = g.repartitionByRange(ranges, "score", "s").withColumn("_part", F.spark_partition_id())
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Twice the rank within the range, a whole number.
+    twice = dealt.withColumn("_rank", 2 * before(Window.partitionBy("_part", "score").orderBy("s")) + F.col("n") + 1)
+    parts = twice.groupBy("_part", "score").agg(F.sum(F.col("_rank") * F.col("p")).alias("r"), F.sum("n").alias("n"), F.sum("p").alias("p"))
+    # A row a range: ordering them is small.
+    whole = parts.withColumn("r", (F.col("r") + 2 * before(Window.partitionBy("score").orderBy("_part")).cast("decimal(19,0)") * F.col("p")))
+    t = whole.groupBy("score").agg(F.sum("r").cast("double").alias("r"), F.sum("p").cast("double").alias("pos"), F.sum(F.col("n") - F.col("p")).cast("double").alias("neg"))
+    return t.select("score", ((F.col("r") - F.col("pos") * (F.col("pos") + 1)) / F.nullif(2 * F.col("pos") * F.col("neg"), F.lit(0.0))).alias("auc"))
+
+
+def auc(df: DataFrame, score: str, label: Column) -> DataFrame:
+    """One row: ``aucs`` of one score; null without rows."""
+    return aucs(df, [score], label).agg(F.max("auc").alias("auc"))
 
 
 def evaluate(df: DataFrame, scores: list[str], label: Column, event_id: str = "event_id") -> DataFrame:
@@ -88,7 +104,7 @@ def evaluate(df: DataFrame, scores: list[str], label: Column, event_id: str = "e
         both = lifts(df, s, label, (0.05, 0.01), event_id)
         parts.append(both.where("share > 0.02").select(name, F.col("lift").alias("top5_lift"), "hits", "k"))
         parts.append(both.where("share < 0.02").select(name, F.col("lift").alias("top1_lift")))
-        parts.append(auc(df, s, label).select(name, "auc"))
+    parts.append(aucs(df, scores, label))
     # One-row results side by side: united, then the one value of each column.
     every = parts[0]
     for p in parts[1:]:

@@ -64,9 +64,7 @@ AUC = """(SELECT '{s}' AS score, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2)
 
 @register("j26_auc", f"WITH {SCORED} SELECT * FROM {AUC.format(s='composite')} UNION ALL SELECT * FROM {AUC.format(s='m2')} UNION ALL SELECT * FROM {AUC.format(s='z_m1')}")
 def auc(spark, sf_dir):
-    df = scored(spark, sf_dir)
-    parts = [scoring.auc(df, s, F.col("charged")).select(F.lit(s).alias("score"), F.round("auc", 6).alias("auc")) for s in ("composite", "m2", "z_m1")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return scoring.aucs(scored(spark, sf_dir), ["composite", "m2", "z_m1"], F.col("charged")).withColumn("auc", F.round("auc", 6))
 
 
 @register("j27_evaluate", f"""WITH {SCORED} SELECT 'composite' AS score, a.lift AS top5_lift, a.hits, a.k, b.lift AS top1_lift, c.auc
